@@ -54,3 +54,14 @@ def per_slice(f: Callable[[pa.RecordBatch, list[str]], dict | None], schema: pa.
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows, the same ones each time: those with the smallest hash of the key."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(7)), F.col(key)).limit(most)
+
+
+def kept_rows(rows: DataFrame, keeps: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows, all columns, whose text `keeps` says yes to; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, text):
+                yield part.filter(pa.array(keeps(texts), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -137,7 +137,7 @@ def _predict(profiles: dict[str, list[int]], length: int):
             far = np.where(near == length, length, np.abs(near - np.arange(len(top))[:, None])).sum(0)
             pred.append(langs[int(np.argmin(far))])
             score.append(1.0 - float(far.min()) / (length * len(top)))
-        return {"doc_id": rows.column(0), "lang_pred": pred, "score": score}
+        return {"doc_id": rows.column(0) if rows else None, "lang_pred": pred, "score": score}
 
     return run
 
@@ -148,6 +148,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], length: int = PROF
     return rows.mapInArrow(per_slice(_predict(profiles, length), _OUT), "doc_id long, lang_pred string, score double")
 
 
+def in_known_language(profiles: dict[str, list[int]], least: float, length: int = PROFILE):
+    """A test for texts: the prediction is a language, with this score or more."""
+    predict = _predict(profiles, length)
+
+    def keeps(texts: list[str]) -> np.ndarray:
+        found = predict(None, texts)
+        return np.array([lang != UNKNOWN and score >= least for lang, score in zip(found["lang_pred"], found["score"], strict=True)], bool)
+
+    return keeps
+
+
 def teaching_rows() -> Column:
     return ~remainder_is(F.col("doc_id"), 4, 2)
 

@@ -17,8 +17,8 @@ from chatloom.llm.common import documents
 
 # White space and symbols of the contract, and phrases of page furniture.
 BLANK = r"[\x20\x09-\x0D]+"
-BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|»›"
 FURNITURE = (
     "cookie policy", "accept cookies", "all rights reserved", "terms of use", "terms of service", "privacy policy",
     "enable javascript", "lorem ipsum", "subscribe to our newsletter", "click here", "sign up for", "log in to",
@@ -30,26 +30,39 @@ SYMBOLS_PER_WORD, UPPER_SHARE, NAV_SEPARATORS_PER_WORD, REPEAT_MIN_WORDS = 0.5,
 MAX_LOST_SHARE = 0.5
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, chars: str) -> Column:
+    return F.regexp_count(text, F.lit("[" + chars + "]"))
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(_without(text, chars))
+def _has_word(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
+
+
+#: Holds wherever most letters of a line are capitals: two in a row among its letters, or a single one.
+SHOUT_HINT = r"(?m)\p{Lu}\P{L}*+(?:\p{Lu}|$)"
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that punctuation, navigation or boilerplate rules remove; blank lines stay."""
-    words = F.size(F.filter(F.split(line, BLANK), lambda w: w != ""))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+def line_fails(line: Column, symbols: Column | None = None, separators: Column | None = None, shouts: Column | None = None, phrases: Column | None = None) -> Column:
+    """True for a line that punctuation, navigation or boilerplate rules remove; blank lines stay.
+
+    The other columns say that the rule could hold for some line of the document; they only save work.
+    """
+    yes = F.lit(True)
+    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    upper = F.regexp_count(line, F.lit(r"\p{Lu}"))
     low = F.lower(line)
-    punctuation = (_count(line, SYMBOLS) > SYMBOLS_PER_WORD * words) | ((words >= 3) & (letters > 0) & (upper > UPPER_SHARE * letters)) | ((words > 0) & (letters == 0))
-    navigation = (_count(line, "|»›") >= 2) & (_count(line, "|»›") > NAV_SEPARATORS_PER_WORD * words)
     furniture = F.lit(False)
     for phrase in FURNITURE:
         furniture = furniture | F.contains(low, F.lit(phrase))
-    return punctuation | navigation | furniture
+    rule = lambda might, test: F.when(yes if might is None else might, test).otherwise(False)
+    return (
+        rule(symbols, _count(line, SYMBOLS) > SYMBOLS_PER_WORD * words)
+        | rule(shouts, line.rlike(SHOUT_HINT) & (words >= 3) & (letters > 0) & (upper > UPPER_SHARE * letters))
+        | (~line.rlike(r"\p{L}") & _has_word(line))
+        | rule(separators, (_count(line, SEPARATORS) >= 2) & (_count(line, SEPARATORS) > NAV_SEPARATORS_PER_WORD * words))
+        | rule(phrases, furniture)
+    )
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,27 +88,33 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_starts")
     steps = F.zip_with(F.slice("_starts", 2, n), F.slice("_starts", 1, n - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     d = d.withColumn("n_repeat_words", F.when(F.col("_starts").isNotNull() & (n > 0), F.aggregate(steps, F.lit(WINDOW), lambda acc, x: acc + x)).otherwise(0).cast("long"))
-    d = d.withColumn("_full", F.filter("_lines", lambda x: F.length(_without(x, BLANK_CHARS)) > 0))
+    d = d.withColumn("_full", F.filter("_lines", _has_word))
     d = d.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
-    d = d.withColumn("word_chars", F.length(_without(t, BLANK_CHARS)).cast("long")).withColumn("n_symbols", _count(t, SYMBOLS).cast("long"))
-    long_line = lambda x: F.size(F.filter(F.split(x, BLANK), lambda w: w != "")) >= REPEAT_MIN_WORDS
+    d = d.withColumn("word_chars", F.length(F.concat_ws("", "_words")).cast("long")).withColumn("n_symbols", _count(t, SYMBOLS).cast("long"))
+    low, phrases = F.lower(t), F.lit(False)
+    for phrase in FURNITURE:
+        phrases = phrases | F.contains(low, F.lit(phrase))
+    d = d.withColumn("_hints", F.array(F.col("n_symbols") > 0, t.rlike(f"[{SEPARATORS}]"), t.rlike(SHOUT_HINT), phrases))
+    fails = lambda line: line_fails(line, *(F.get("_hints", F.lit(k)) for k in range(4)))
+    long_line = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= REPEAT_MIN_WORDS
     # Where lines repeat, sort them to find each one's first position.
     d = d.withColumn("_runs", F.when(F.col("n_dup_lines") > 0, F.array_sort(F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     first = lambda r, k: (k == 0) | (F.get(F.col("_runs"), F.greatest(k - 1, F.lit(0)))["x"] != r["x"])
-    d = d.withColumn("_once", F.filter("_runs", lambda r, k: (first(r, k) | ~long_line(r["x"])) & ~line_fails(r["x"])))
+    d = d.withColumn("_once", F.filter("_runs", lambda r, k: (first(r, k) | ~long_line(r["x"])) & ~fails(r["x"])))
     d = d.withColumn(
         "_kept",
-        F.when(F.col("_once").isNull(), F.filter("_lines", lambda x: ~line_fails(x))).otherwise(
+        F.when(F.col("_once").isNull(), F.filter("_lines", lambda x: ~fails(x))).otherwise(
             F.transform(F.array_sort(F.transform("_once", lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
         ),
     )
     d = d.withColumn("clean_text", F.when(F.col(text).isNotNull(), F.concat_ws("\n", "_kept")))
-    d = d.withColumn("n_lines", F.size("_full").cast("long")).withColumn("n_failed_lines", (F.size("_full") - F.size(F.filter("_kept", lambda x: F.length(_without(x, BLANK_CHARS)) > 0))).cast("long"))
-    kept_chars = F.length(_without(F.coalesce("clean_text", F.lit("")), BLANK_CHARS))
+    d = d.withColumn("n_lines", F.size("_full").cast("long")).withColumn("n_failed_lines", (F.size("_full") - F.size(F.filter("_kept", _has_word))).cast("long"))
+    whole = F.size("_kept") == F.size("_lines")
+    kept_chars = F.when(whole, F.col("word_chars")).otherwise(F.length(F.regexp_replace(F.coalesce("clean_text", F.lit("")), BLANK, "")))
     d = d.withColumn("lost_share", F.when(F.col("word_chars") > 0, 1 - kept_chars / F.col("word_chars")).otherwise(F.lit(0.0)))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOST_SHARE))
-    return d.drop("_words", "_lines", "_win", "_twice", "_sorted", "_starts", "_full", "_runs", "_once", "_kept")
+    return d.drop("_words", "_lines", "_win", "_twice", "_sorted", "_starts", "_full", "_runs", "_once", "_kept", "_hints")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """The rows, all columns, of the smallest doc_id of each group; rows without a doc_id stay."""
+    found = near_duplicates(docs, "doc_id", text, width, radius)
+    first = staged(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id"))
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
