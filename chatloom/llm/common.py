@@ -11,7 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches of text are bounded by bytes, as rows may be long: workers and executors hold a few at a time.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -20,7 +29,7 @@ def remainder_is(key: Column, modulus: int, wanted: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == wanted, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, text: str, most_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, text: str, most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut an Arrow batch into runs of rows with about most_chars of text; null texts become ''.
 
     A single longer text still comes whole.
@@ -39,7 +48,7 @@ def slices(batch: pa.RecordBatch, text: str, most_chars: int = 2_000_000) -> Ite
         at = to
 
 
-def per_slice(f: Callable[[pa.RecordBatch, list[str]], dict | None], schema: pa.Schema, text: str = "text", most_chars: int = 2_000_000):
+def per_slice(f: Callable[[pa.RecordBatch, list[str]], dict | None], schema: pa.Schema, text: str = "text", most_chars: int = 1_000_000):
     """A mapInArrow function from f(rows, texts) -> columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,12 +65,13 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(7)), F.col(key)).limit(most)
 
 
-def kept_rows(rows: DataFrame, keeps: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+def kept_rows(rows: DataFrame, keeps: Callable[[list[str]], np.ndarray], text: str = "text", most_chars: int = 1_000_000) -> DataFrame:
     """The rows, all columns, whose text `keeps` says yes to; nothing is shuffled."""
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, most_chars):
                 yield part.filter(pa.array(keeps(texts), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

@@ -29,6 +29,8 @@ FOLD = 15
 #: their ids. Prediction reads every text whole.
 TEACHERS = 3000
 UNKNOWN = "und"
+#: Characters worked on at once; a character takes some hundred bytes on the way.
+SLICE = 400_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -103,7 +105,7 @@ def learn_profiles(docs: DataFrame, teaches: Column, length: int = PROFILE, teac
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.lit(teachers * (1 << 20)) / F.col("rows")
     chosen = rows.join(F.broadcast(sizes.orderBy(F.desc("rows"), "lang").limit(1000)), "lang").filter(share).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    counts = chosen.mapInArrow(per_slice(_count_grams, schema, most_chars=8_000_000), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(per_slice(_count_grams, schema), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = _top(counts, length)
     return {r["lang"]: list(r["grams"]) for r in sorted(top.collect(), key=lambda r: r["lang"])}
 
@@ -145,7 +147,7 @@ def _predict(profiles: dict[str, list[int]], length: int):
 def identify(docs: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row; score is 1 less the mean distance a n-gram over the worst."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(per_slice(_predict(profiles, length), _OUT), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(per_slice(_predict(profiles, length), _OUT, most_chars=SLICE), "doc_id long, lang_pred string, score double")
 
 
 def in_known_language(profiles: dict[str, list[int]], least: float, length: int = PROFILE):

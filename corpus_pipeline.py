@@ -18,7 +18,7 @@ LEAST_LANGUAGE_SCORE = 0.15
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
     keeps = language_id.in_known_language(language_id.learn_profiles(docs, language_id.teaching_rows()), LEAST_LANGUAGE_SCORE)
-    return kept_rows(docs, keeps)
+    return kept_rows(docs, keeps, most_chars=language_id.SLICE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
