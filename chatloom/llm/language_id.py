@@ -66,8 +66,8 @@ def grams(texts: list[str], longest: int = LONGEST) -> list[np.ndarray]:
             break
         key = (key[:m] << FOLD) | code[n - 1 :]
         inner = (inner[:m] & (code[n - 2 : n - 2 + m] > 0)) if n > 2 else np.ones(m, bool)
-        ok = inner & ((code[:m] > 0) | (code[n - 1 :] > 0))
         # Blanks that end one text and begin the next are neighbours, never inside a word.
+        ok = inner if n > 2 else (code[:m] > 0) | (code[1:] > 0)
         where = np.nonzero(ok)[0]
         found.append((where, key[where] | (n << (FOLD * 4))))
     cuts = [np.searchsorted(where, at) for where, _ in found]

@@ -5,7 +5,7 @@ lines go, and a document that loses too much of its text is rejected.
 
 Defined cases: a null text has no words and no lines (`kept` false, `clean_text`
 null); an empty text is the same with an empty `clean_text`; repeated rows give
-repeated results; extra columns of the input pass through only in `clean_lines`.
+repeated results; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -65,14 +65,14 @@ def line_fails(line: Column, symbols: Column | None = None, separators: Column |
     )
 
 
-def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Input columns plus clean_text, n_lines, n_failed_lines, lost_share and the document measures.
+def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, clean_text, n_lines, n_failed_lines, lost_share, kept and the document measures) of every row.
 
     Repeats after the first of a line with four words or more count as boilerplate.
     Narrow: no exchange, every document is handled where it is read.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_words", F.filter(F.split(t, BLANK), lambda w: w != "")).withColumn("_lines", F.split(t, "\n"))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("_words", F.filter(F.split(t, BLANK), lambda w: w != "")).withColumn("_lines", F.split(t, "\n"))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     d = d.withColumn(
         "_win",
@@ -107,7 +107,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             F.transform(F.array_sort(F.transform("_once", lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
         ),
     )
-    d = d.withColumn("clean_text", F.when(F.col(text).isNotNull(), F.concat_ws("\n", "_kept")))
+    d = d.withColumn("clean_text", F.when(F.col("text").isNotNull(), F.concat_ws("\n", "_kept")))
     d = d.withColumn("n_lines", F.size("_full").cast("long")).withColumn("n_failed_lines", (F.size("_full") - F.size(F.filter("_kept", _has_word))).cast("long"))
     whole = F.size("_kept") == F.size("_lines")
     kept_chars = F.when(whole, F.col("word_chars")).otherwise(F.length(F.regexp_replace(F.coalesce("clean_text", F.lit("")), BLANK, "")))
@@ -118,7 +118,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return clean_lines(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _sql() -> str:

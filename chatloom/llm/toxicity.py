@@ -123,12 +123,13 @@ class LabelModel:
         """patterns: votes; counts: documents with them; known: documents by label (0, 1) among the labelled."""
         self.m = m = patterns.shape[1]
         toxic, clean = (patterns == TOXIC).sum(1), (patterns == CLEAN).sum(1)
-        post = 1 / (1 + np.exp(-(2.0 * toxic - clean - 1.0)))
+        # It begins from the labelled documents with a pattern, and from the votes where there are few.
+        post = (known[:, 1] + 2 / (1 + np.exp(-(2.0 * toxic - clean - 1.0)))) / (known.sum(1) + 2)
         free = np.maximum(counts - known.sum(1), 0)
         self.parent = np.full(m, -1)
         for k in range(60):
             weight = np.stack((free * (1 - post) + known[:, 0], free * post + known[:, 1]))
-            if k in (10, 25, 40):
+            if k in (0, 3, 10, 25, 40):
                 self.parent = self._tree(patterns, weight)
             self._estimate(patterns, weight)
             new = self.posterior(patterns)
