@@ -183,8 +183,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.
     w, b = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
-        e = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        d = np.append(x.T @ e / len(y) + decay * w, e.mean())
+        e = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30))) - y
+        d = np.append(e.astype(x.dtype) @ x / len(y) + decay * w, e.mean())
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
