@@ -28,14 +28,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, query:
     Only postings of query terms are kept, so the join sees no other words of the corpus.
     """
     asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    words = docs.select(key, F.explode(terms(F.col(text))).alias("term"))
-    lengths = docs.select(key, F.size(terms(F.col(text))).alias("dl"))
-    whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
-    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = docs.select(key, terms(F.col(text)).alias("_terms")).select(key, F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
+    whole = docs.select(F.coalesce(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
-    rated = postings.join(df, "term").join(lengths, key).crossJoin(F.broadcast(whole)).select(key, "term", part.alias("part"))
+    rated = postings.join(df, "term").crossJoin(F.broadcast(whole)).select(key, "term", part.alias("part"))  # whole is one row
     return asked.join(rated, "term").groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
