@@ -1,6 +1,7 @@
 """Packing into fixed-length sequences: first-fit decreasing with a tournament tree.
 
-Documents are dealt to randomised groups of bounded size by a hash. Each group is
+Documents are dealt to randomised groups by a hash; the number of groups follows both the
+rows and the characters, so a group's size does not grow with the table. Each group is
 tokenised and packed by one task on its own: whole sequences are cut from long
 documents, the rest goes first-fit decreasing, where a tournament tree over the free
 room of the bins finds the first bin that fits in logarithmic time. Last, the emptiest
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import documents
 
 LENGTH, END_ID = 2048, 1
-GROUP_ROWS = 2048
+#: A group holds about this many documents or characters, whichever is reached first.
+GROUP_ROWS, GROUP_CHARS = 2048, 32_000_000
 #: Room under this many tokens stays padding rather than taking a cut of a document.
 LEAST_CUT = 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -133,11 +135,20 @@ def _pack_group(vocabulary: str, capacity: int, end_id: int):
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = LENGTH, end_id: int = END_ID, group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a piece. Groups hold about group_rows documents whatever the size of the table."""
-    groups = max(1, -(-docs.count() // group_rows))
+def packed(
+    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = LENGTH, end_id: int = END_ID,
+    group_rows: int = GROUP_ROWS, group_chars: int = GROUP_CHARS, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """One row a piece. Groups hold about group_rows documents or group_chars characters.
+
+    The hash takes a row's place in its partition too, so that copies of one row, or many
+    rows without an id, spread over all groups. docs should be a scan, whose partitions are the
+    same when a lost task is run again.
+    """
     dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(groups)).cast("long"))
+    size = dealt.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    groups = max(1, -(-size["n"] // group_rows), -(-size["chars"] // group_chars))
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(11)), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInArrow(_pack_group(vocabulary, capacity, end_id), PIECE)
 
 

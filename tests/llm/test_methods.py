@@ -46,6 +46,16 @@ def test_tree_finds_the_first_fit():
         assert P.first_fit_decreasing(sizes, 100) == bins
 
 
+def test_packing_spreads_copies_of_one_row_and_long_texts(spark):
+    rows = spark.createDataFrame([(None, "")] * 300 + [(1, "the same words")] * 300, "doc_id long, text string").repartition(3)
+    pieces = P.packed(rows, group_rows=100).collect()
+    assert len({r.sequence_id >> 32 for r in pieces}) == 6 and sum(r.doc_id is None for r in pieces) == 300
+    most = max(sum(1 for r in pieces if r.sequence_id >> 32 == g) for g in range(6))
+    assert most < 200
+    long = spark.createDataFrame([(k, "word " * 200) for k in range(50)], "doc_id long, text string")
+    assert len({r.sequence_id >> 32 for r in P.packed(long, group_chars=10_000).collect()}) > 2
+
+
 def test_packing_is_an_exact_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
