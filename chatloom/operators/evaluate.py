@@ -90,6 +90,13 @@ def failure_stage(flags: list[tuple[str, str]]) -> Column:
     return out
 
 
+def hit_changes(before: DataFrame, after: DataFrame, query: str, hit: str) -> DataFrame:
+    """(outcome, n): queries that both rankings find or miss, and those the later one fixes or breaks."""
+    both = before.select(query, (F.col(hit) > 0).alias("_a")).join(after.select(query, (F.col(hit) > 0).alias("_b")), query)
+    outcome = F.when(F.col("_a") & F.col("_b"), "both_hit").when(F.col("_b"), "fixed").when(F.col("_a"), "broken").otherwise("both_miss")
+    return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def kappa(rows: DataFrame, a: str, b: str) -> float | None:
     """Cohen's agreement of two raters from their contingency table."""
     table = {(r[0], r[1]): r[2] for r in rows.groupBy(a, b).count().collect()}

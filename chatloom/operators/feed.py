@@ -30,6 +30,12 @@ def backward_page(rows: DataFrame, limit: int, before: int) -> DataFrame:
     return rows.filter(cursor(before=before)).orderBy(F.desc("feed_ordinal"), F.desc("message_id")).limit(clamp_limit(limit)).orderBy("feed_ordinal", "message_id")
 
 
+def event_stream(rows: DataFrame, event: str, data: list[str]) -> DataFrame:
+    """(feed_ordinal, frame): each row as one frame of a text/event-stream, its data as compact JSON."""
+    body = F.to_json(F.struct(*data), {"ignoreNullFields": "false"})
+    return rows.select("feed_ordinal", F.concat(F.lit("id: "), "feed_ordinal", F.lit(f"\nevent: {event}\ndata: "), body, F.lit("\n\n")).alias("frame"))
+
+
 def with_senders(rows: DataFrame, senders: DataFrame) -> DataFrame:
     named = rows.join(senders.select("sender_id", "display_name"), "sender_id", "left")
     return named.withColumn("sender_id", F.coalesce(F.col("sender_id").cast("string"), F.lit("unknown"))).withColumn("display_name", F.coalesce("display_name", F.lit("Unknown")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.operators import chunks, evaluate, feed, gates, lexical, scope, similarity, windows
+from chatloom.operators import chunks, evaluate, feed, gates, lexical, normalize, scope, similarity, windows
 from chatloom.operators.graph import connected_components
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -634,3 +634,109 @@ def trace_violations(spark, sf_dir):
 def failure_attribution(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"), (F.col("doc_id") % 2 == 0).alias("c"))
     return rows.select("doc_id", evaluate.failure_stage([("a", "retrieval_miss"), ("b", "selection_miss"), ("c", "context_miss")]).alias("stage"))
+
+
+# --- queue, drafts, mentions, agreement ------------------------------------------------------------
+
+
+@query("""select event_id, case event_type when 'view' then 'processing' else 'pending' end status from events
+where event_type = 'view' or (event_type in ('click', 'error') and ts <= timestamp '2024-01-15') order by case event_type when 'view' then 0 else 1 end, event_id limit 250""")
+def queue_head(spark, sf_dir):
+    status = F.when(F.col("event_type") == "view", "processing").when(F.col("event_type").isin("click", "error"), "pending").otherwise("done")
+    outbox = table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.col("ts").alias("next_attempt_at"))
+    return feed.queue_head(outbox, F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")), 250).select("event_id", "status")
+
+
+@query("select o_orderkey media_id from orders where o_custkey is not null and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') order by o_orderdate, o_orderkey limit 1")
+def next_pending_media(spark, sf_dir):
+    media = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("parent_message_id"), F.col("o_orderdate").alias("created_at"))
+    encoded = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("media_id"))
+    return feed.next_pending_media(media, encoded).select("media_id")
+
+
+@query("select o_orderkey media_id from orders where o_totalprice <= 100000 and o_orderpriority = '1-URGENT' and o_orderstatus = 'O' and o_orderdate + interval 900 day > timestamp '2000-01-01'")
+def live_drafts(spark, sf_dir):
+    parent = F.when(F.col("o_totalprice") > 100000, F.col("o_custkey"))
+    media = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media_id"), parent.alias("parent_message_id"), F.col("o_orderpriority").alias("uploader_id"), F.col("o_orderstatus").alias("channel_id"), F.col("o_orderdate").alias("created_at"))
+    return feed.live_drafts(media, "1-URGENT", "O", F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")), 900 * 86_400).select("media_id")
+
+
+@query("""select event_id feed_ordinal, 'id: ' || event_id || chr(10) || 'event: message' || chr(10) || 'data: {"message_id":"e' || event_id || '","channel_id":' || user_id || ',"event_type":"' || event_type || '"}' || chr(10) || chr(10) frame from events""")
+def event_frames(spark, sf_dir):
+    return feed.event_stream(_feed(spark, sf_dir), "message", ["message_id", "channel_id", "event_type"])
+
+
+@query("""with m as (select s_suppkey message_id, s_name || ' asks @' || n_name || ' now, then @' || r_name || '!' t from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey),
+known as (select n_name name, n_nationkey::bigint sender_id, 0.8 confidence from nation union all select r_name, 100 + r_regionkey, 0.8 from region),
+x as (select message_id, unnest(string_split(t, '@')[2:]) piece, unnest(range(1, len(string_split(t, '@')))) i, string_split(t, '@') ps from m),
+y as (select message_id, i, regexp_extract(piece, '^([^,!.?;:\n]+)', 1) raw, len(array_to_string(ps[1:i], '@')) st from x),
+z as (select *, count(*) over (partition by message_id, i) n, row_number() over (partition by message_id, i order by len(name) desc, name) k
+  from y join known on starts_with(replace(lower(trim(raw)), ' ', ''), replace(lower(name), ' ', '')))
+select message_id, st::bigint as "start", (st + 1 + len(raw))::bigint as "end", sender_id, case when n > 1 then round(0.8 / n, 2) else 0.8 end::double confidence from z where k = 1""")
+def mention_links(spark, sf_dir):
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat("s_name", F.lit(" asks @"), "n_name", F.lit(" now, then @"), "r_name", F.lit("!"))
+    rows = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("message_id"), text.alias("text"))
+    name = lambda t, n, k: table(spark, sf_dir, t).select(F.col(n).alias("name"), k.cast("long").alias("sender_id"), F.lit(0.8).alias("confidence"))
+    return normalize.mentions(rows, name("nation", "n_name", F.col("n_nationkey")).unionByName(name("region", "r_name", 100 + F.col("r_regionkey"))))
+
+
+@query(_EDGES + " select left_id, right_id from edges where (left_id % 5 = 0) <> (right_id % 5 = 0)")
+def cross_split_edges(spark, sf_dir):
+    split = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("component"), F.when(F.col("vec_id") % 5 == 0, "dev").otherwise("test").alias("split"))
+    return evaluate.cross_split_edges(_edges(spark, sf_dir), split, "left_id", "right_id").select("left_id", "right_id")
+
+
+@query("""select r.x block_reason, count(event_id)::bigint n from (select unnest(['click', 'view', 'no_scope']) x) r
+left join events on event_type = r.x and value < 50 group by 1""")
+def blocked_by_reason(spark, sf_dir):
+    outcome = F.when(F.col("value") < 50, "blocked").otherwise("done")
+    trace = table(spark, sf_dir, "events").select(F.lit("jump").alias("action"), outcome.alias("outcome"), F.col("event_type").alias("block_reason"))
+    return evaluate.blocked_counts(trace, ("click", "view", "no_scope"))
+
+
+@query("select lang, count(*) filter (regexp_matches(text, '[㐀-鿿]'))::bigint cjk, count(*)::bigint n from documents group by 1")
+def cjk_by_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("text").rlike(T.CJK)).alias("cjk"), F.count("*").alias("n"))
+
+
+@query("select doc_id, sha256(regexp_replace(text, '" + T.SECRET + "', '[redacted]', 'g')) digest, regexp_matches(text, '" + T.SECRET + "') has_secret from documents")
+def secrets_redacted(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("digest"), F.col("text").rlike(T.SECRET).alias("has_secret"))
+
+
+@query("select doc_id, sha256(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) digest from documents")
+def accents_folded(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.folded_accents(F.col("text")), 256).alias("digest"))
+
+
+@query("select conv_id, 'c' || conv_id || ':' || min(turn) || '-' || max(turn) chunk_id from conversations where turn is not null group by 1")
+def chunk_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("turn is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    ids = F.transform("turns", lambda t: F.concat(F.lit("c"), F.col("conv_id"), F.lit(":"), t))
+    return rows.select("conv_id", T.chunk_id(F.concat(F.lit("c"), "conv_id"), ids).alias("chunk_id"))
+
+
+@query("with c as (select distinct conv_id from conversations) select conv_id, row_number() over (order by sha256('split-1:' || conv_id), conv_id) - 1 as position from c")
+def salted_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    rows = rows.withColumn("salted", F.sha2(F.concat(F.lit("split-1:"), "conv_id"), 256))
+    return windows.global_rank(rows, ["salted", "conv_id"], "position").select("conv_id", "position")
+
+
+@query("with t as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from documents) select term, count(*)::bigint n from t group by 1 order by n desc, term limit 50")
+def most_common_terms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(lexical.terms(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query(f"with a as ({_FOUND['raw_at_k'][1]}), b as ({_FOUND['distinct_at_k'][1]}) select case when a.hit > 0 and b.hit > 0 then 'both_hit' when b.hit > 0 then 'fixed' when a.hit > 0 then 'broken' else 'both_miss' end outcome, count(*)::bigint n from a join b using (item_id) group by 1")
+def hit_changes(spark, sf_dir):
+    return evaluate.hit_changes(raw_at_k(spark, sf_dir), distinct_at_k(spark, sf_dir), "item_id", "hit")
+
+
+@query("""with n as (select count(*) n, avg((quality = toxic)::int) same, avg(quality) q, avg(toxic) t from labels where quality is not null and toxic is not null)
+select round((same - (q * t + (1 - q) * (1 - t))) / (1 - (q * t + (1 - q) * (1 - t))), 6) kappa from n""")
+def rater_agreement(spark, sf_dir):
+    value = evaluate.kappa(table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null"), "quality", "toxic")
+    return spark.createDataFrame([(None if value is None else round(value, 6),)], "kappa double")
