@@ -34,6 +34,27 @@ def percentile_truncating(value: str, p: float) -> Column:
     return F.element_at(values, F.greatest(F.lit(1), (F.lit(p) * F.count(value) - 1).cast("int") + 1))
 
 
+def percentile_positional(value: str, q: float) -> Column:
+    """The value at 0-based position n * q, rounded down, and no later than the last."""
+    values = F.sort_array(F.collect_list(value))
+    return F.element_at(values, F.least(F.count(value), (F.count(value) * F.lit(q)).cast("int") + 1).cast("int"))
+
+
+def retrieval_metrics(retrieved: DataFrame, gold: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, n_retrieved, n_gold, recall, precision) from (query, key) rows; a rate without a denominator is null."""
+    flag = lambda df, name: df.groupBy(query, key).agg(F.lit(1).alias(name))
+    both = flag(retrieved, "_r").join(flag(gold, "_g"), [query, key], "full")
+    counts = both.groupBy(query).agg(F.count("_r").alias("n_retrieved"), F.count("_g").alias("n_gold"), F.count_if(F.col("_r").isNotNull() & F.col("_g").isNotNull()).alias("_both"))
+    rate = lambda n: F.round(F.try_divide("_both", n), 6)
+    return counts.select(query, "n_retrieved", "n_gold", rate("n_gold").alias("recall"), rate("n_retrieved").alias("precision"))
+
+
+def normalised_answer(text: Column) -> Column:
+    """An answer without case, punctuation and articles, for the exact pass before any judge."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", " "), r"\b(a|an|the)\b", " ")
+    return F.trim(F.regexp_replace(plain, " +", " "))
+
+
 def trace_metrics(trace: DataFrame) -> DataFrame:
     """(metric, value, sample_size), value null where the denominator is 0.
 
@@ -149,3 +170,14 @@ def cross_split_edges(edges: DataFrame, split: DataFrame, left: str, right: str)
     """Edges whose ends lie in different splits; split: (component, split)."""
     side = lambda name, c: split.select(F.col("component").alias(c), F.col("split").alias(name))
     return edges.join(side("_a", left), left).join(side("_b", right), right).filter("_a <> _b").drop("_a", "_b")
+
+
+def cluster_edges(members: DataFrame, cluster: str, group: str, most: int = 10) -> DataFrame:
+    """(left, right): pairs of groups that share a cluster of 2 to `most` members; larger ones are collisions by rule.
+
+    The size is counted before the self-join, so it pairs at most `most` rows of a cluster.
+    """
+    sizes = members.groupBy(cluster).agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, most)).select(cluster)
+    few = members.join(sizes, cluster, "left_semi").select(cluster, group).distinct()
+    left, right = (few.select(cluster, F.col(group).alias(name)) for name in ("left", "right"))
+    return left.join(right, cluster).filter("left < right").select("left", "right").distinct()

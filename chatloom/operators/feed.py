@@ -70,6 +70,12 @@ def allocate_ordinals(new: DataFrame, existing: DataFrame, order: list[str]) ->
     return numbered.join(last, "channel_id", "left").withColumn("ordinal", F.coalesce("_last", F.lit(-1)) + F.col("_k")).drop("_k", "_last")
 
 
+def raised_last(channels: DataFrame, messages: DataFrame) -> DataFrame:
+    """Channels with last_ordinal moved up to their newest message, never down."""
+    newest = messages.groupBy("channel_id").agg(F.max("ordinal").alias("_newest"))
+    return channels.join(newest, "channel_id", "left").withColumn("last_ordinal", F.greatest("last_ordinal", "_newest")).drop("_newest")
+
+
 def queue_head(outbox: DataFrame, now: Column, limit: int = 1) -> DataFrame:
     """Interrupted events first, then those whose turn has come."""
     ready = (F.col("status") == "processing") | ((F.col("status") == "pending") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))

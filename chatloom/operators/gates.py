@@ -42,6 +42,25 @@ def multiset_difference(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return count(left, "n_left").join(count(right, "n_right"), key, "full").select(key, zero("n_left"), zero("n_right")).filter("n_left <> n_right")
 
 
+def set_report(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, side): wanted keys that are missing, found keys that are extra."""
+    side = lambda a, b, name: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("side", F.lit(name))
+    return side(wanted, found, "missing").unionByName(side(found, wanted, "extra"))
+
+
+def binding_violations(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """(query_id, violation): evidence bindings that do not match their row's gold ids place by place, or their message's hash.
+
+    rows: (query_id, gold_ids array, bindings array of (message_id, message_hash)); messages: (message_id, hash).
+    """
+    count = rows.filter(F.size("gold_ids") != F.size("bindings")).select("query_id", F.lit("count").alias("violation"))
+    each = rows.filter(F.size("gold_ids") == F.size("bindings")).select("query_id", F.explode(F.arrays_zip("gold_ids", "bindings")).alias("z"))
+    each = each.select("query_id", F.col("z.gold_ids").alias("_gold"), F.col("z.bindings.message_id").alias("_bound"), F.col("z.bindings.message_hash").alias("_hash"))
+    known = messages.select(F.col("message_id").alias("_gold"), F.col("hash").alias("_known"), F.lit(True).alias("_there"))
+    wrong = F.when(~F.col("_bound").eqNullSafe(F.col("_gold")), "message_id").when(F.col("_there").isNull(), "unknown_message").when(~F.col("_hash").eqNullSafe(F.col("_known")), "hash")
+    return count.unionByName(each.join(known, "_gold", "left").select("query_id", wrong.alias("violation")).filter("violation is not null"))
+
+
 def trace_violations(trace: DataFrame) -> DataFrame:
     """(event_id, violation) of a trace (pos, query_id, event_id, parent_event_id, record_type, action, outcome, block_reason, result_event_id, payload)."""
     kinds = ("query_started", "round", "result", "llm_call", "query_completed")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.operators import chunks, evaluate, feed, gates, lexical, normalize, scope, similarity, windows
+from chatloom.operators import chunks, context, evaluate, feed, gates, lexical, normalize, scope, similarity, windows
 from chatloom.operators.graph import connected_components
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -740,3 +740,121 @@ select round((same - (q * t + (1 - q) * (1 - t))) / (1 - (q * t + (1 - q) * (1 -
 def rater_agreement(spark, sf_dir):
     value = evaluate.kappa(table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null"), "quality", "toxic")
     return spark.createDataFrame([(None if value is None else round(value, 6),)], "kappa double")
+
+
+# --- context, routing, lookups ---------------------------------------------------------------------
+
+
+@query("""with a as (select conv_id, turn from conversations where conv_id % 5 = 0 and turn % 7 = 3)
+select conv_id, turn, role from conversations c where exists (select 1 from a where a.conv_id = c.conv_id and abs(a.turn - c.turn) <= 2)""")
+def context_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return context.turns_around(rows, rows.filter("conv_id % 5 = 0 and turn % 7 = 3"), "conv_id", "turn", 2)
+
+
+@query("""with a as (select user_id, ts from events where event_id % 50 = 0)
+select event_id, user_id from events e where exists (select 1 from a where a.user_id = e.user_id and abs(epoch_us(a.ts) - epoch_us(e.ts)) <= 600 * 60000000::bigint)""")
+def context_minutes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return context.minutes_around(rows, rows.filter("event_id % 50 = 0"), "user_id", "ts", 600).select("event_id", "user_id")
+
+
+@query("""with p as (select conv_id, role, turn, row_number() over (partition by conv_id, role order by turn) k from conversations where turn is not null)
+select conv_id, turn, role from p where exists (select 1 from p a where a.conv_id = p.conv_id and a.role is not distinct from p.role and a.turn % 6 = 2 and abs(a.k - p.k) <= 1)""")
+def context_same_sender(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("turn is not null").select("conv_id", "turn", "role").withColumn("anchor", F.col("turn") % 6 == 2)
+    return context.same_sender_around(rows, "conv_id", "role", "turn", "anchor", 1).drop("anchor")
+
+
+@query("""with m as (select event_id, case when event_id % 3 <> 0 then event_id - 1 - event_id % 2 end parent from events), a as (select * from m where event_id % 20 = 2)
+select event_id from m where event_id in (select event_id from a) or event_id in (select parent from a) or parent in (select event_id from a)""")
+def context_replies(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id") - 1 - F.col("event_id") % 2).alias("parent"))
+    return context.replies_around(rows, rows.filter("event_id % 20 = 2"), "event_id", "parent").select("event_id")
+
+
+@query("select doc_id, case when quality = 1 then 'context' when toxic = 1 then 'visual' else 'structural' end route from labels")
+def route_constraints(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels")
+    return rows.select("doc_id", context.route(F.when(F.col("quality") == 1, "trip"), F.when(F.col("toxic") == 1, "dog").otherwise(" ")).alias("route"))
+
+
+@query("""with r as (select o_orderkey, o_custkey a1, case when o_custkey % 3 <> 0 then o_custkey + 40 end b1, case when o_orderkey % 2 = 0 then o_custkey - 10 end a2, o_custkey + o_orderkey % 60 b2 from orders)
+select o_orderkey, greatest(a1, a2) low, least(b1, b2) high from r where greatest(a1, a2) <= least(b1, b2)""")
+def narrowed_range(spark, sf_dir):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", c.alias("a1"), F.when(c % 3 != 0, c + 40).alias("b1"), F.when(o % 2 == 0, c - 10).alias("a2"), (c + o % 60).alias("b2"))
+    low, high = context.narrowed(("a1", "a2"), ("b1", "b2"))
+    return rows.select("o_orderkey", low.alias("low"), high.alias("high")).filter("low <= high")
+
+
+@query("""with s as (select user_id, event_id, row_number() over (partition by user_id, event_type, event_id % 3 order by event_id) k from events)
+select * from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as cycle from s where k = 1) where cycle <= 6""")
+def search_cycles(spark, sf_dir):
+    kind, place = F.col("event_type"), F.concat(F.lit("place"), F.col("event_id") % 3)
+    words = F.when(F.col("event_id") % 2 == 0, F.array(kind, place)).otherwise(F.array(place, kind, place))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", words.alias("keywords"))
+    return context.fresh_searches(rows, "user_id", "event_id", "keywords").select("user_id", "event_id", "cycle")
+
+
+@query("""with m as (select p_partkey media_id, p_brand ch, 'session' || p_size % 4 s, (p_partkey % 9)::varchar || '.jpg' f from part),
+q as (select o_orderkey question_id, 'Brand#' || (1 + o_custkey % 5) || (1 + o_orderkey % 5) ch, 'session' || o_orderkey % 7 s, case when o_custkey % 2 = 0 then 'session' || o_custkey % 6 end n, (o_custkey % 9)::varchar || '.jpg' f from orders),
+j as (select question_id, media_id, case when m.s = q.n then 1 when m.s = q.s then 2 else 3 end as rule from q join m using (ch, f))
+select question_id, media_id, rule from j qualify row_number() over (partition by question_id order by rule, media_id) = 1""")
+def media_lookup(spark, sf_dir):
+    p, o, c = F.col("p_partkey"), F.col("o_orderkey"), F.col("o_custkey")
+    file = lambda k: F.concat((k % 9).cast("string"), F.lit(".jpg"))
+    media = table(spark, sf_dir, "part").select(p.alias("media_id"), F.col("p_brand").alias("channel_id"), F.concat(F.lit("raw/x/session"), F.col("p_size") % 4, F.lit("/image/"), file(p)).alias("path"))
+    image = F.when(c % 2 == 0, F.concat(F.lit("session"), c % 6, F.lit("/"), file(c))).otherwise(file(c))
+    asked = table(spark, sf_dir, "orders").select(o.alias("question_id"), F.concat(F.lit("Brand#"), 1 + c % 5, 1 + o % 5).alias("channel_id"), F.concat(F.lit("session"), o % 7).alias("session"), image.alias("image"))
+    return context.resolve_media(asked, media)
+
+
+@query("""with r as (select distinct doc_id % 50 q, doc_id from labels where quality = 1), g as (select distinct doc_id % 50 q, doc_id from labels where toxic = 0),
+b as (select coalesce(r.q, g.q) query_id, r.doc_id r, g.doc_id g from r full join g on r.q = g.q and r.doc_id = g.doc_id)
+select query_id, count(r)::bigint n_retrieved, count(g)::bigint n_gold, round(count(*) filter (r is not null and g is not null) / nullif(count(g), 0), 6) recall, round(count(*) filter (r is not null and g is not null) / nullif(count(r), 0), 6) as precision from b group by 1""")
+def retrieval_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").filter("doc_id is not null").withColumn("query_id", F.col("doc_id") % 50)
+    return evaluate.retrieval_metrics(rows.filter("quality = 1"), rows.filter("toxic = 0"), "query_id", "doc_id")
+
+
+@query("select c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || c_name || ', an ' || c_mktsegment || '!'), '[^a-z0-9 ]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), ' +', ' ', 'g')) answer from customer")
+def normalised_answers(spark, sf_dir):
+    text = F.concat(F.lit("The "), "c_name", F.lit(", an "), "c_mktsegment", F.lit("!"))
+    return table(spark, sf_dir, "customer").select("c_custkey", evaluate.normalised_answer(text).alias("answer"))
+
+
+@query("""select event_type, list_sort(list(value))[least(count(value), floor(count(value) * 0.5)::bigint + 1)] p50, list_sort(list(value))[least(count(value), floor(count(value) * 0.9)::bigint + 1)] p90 from events where value is not null group by 1""")
+def percentiles_positional(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter("value is not null").groupBy("event_type").agg(evaluate.percentile_positional("value", 0.5).alias("p50"), evaluate.percentile_positional("value", 0.9).alias("p90"))
+
+
+@query("""with m as (select vec_id, vec_id // (2 + label % 12) cluster, vec_id % 7 g from embeddings), s as (select cluster from m group by 1 having count(*) between 2 and 10)
+select distinct a.g as "left", b.g as "right" from m a join m b using (cluster) where a.g < b.g and cluster in (select cluster from s)""")
+def cluster_group_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / (2 + F.col("label") % 12)).alias("cluster"), (F.col("vec_id") % 7).alias("g"))
+    return evaluate.cluster_edges(rows, "cluster", "g")
+
+
+@query("""with w as (select p_partkey k from part where p_partkey % 3 <> 0), f as (select distinct l_partkey k from lineitem where l_linenumber > 2 and l_quantity > 40)
+select k, 'missing' side from w where k not in (select k from f) union all select k, 'extra' from f where k not in (select k from w)""")
+def missing_and_extra(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"))
+    return gates.set_report(wanted, table(spark, sf_dir, "lineitem").filter("l_linenumber > 2 and l_quantity > 40").select(F.col("l_partkey").alias("k")), "k")
+
+
+@query("""select doc_id query_id, case when doc_id % 13 = 0 then 'count' when doc_id % 7 = 0 then 'message_id' when doc_id % 5 = 0 then 'unknown_message' when doc_id % 11 = 0 then 'hash' end violation
+from documents where doc_id % 13 = 0 or doc_id % 7 = 0 or doc_id % 5 = 0 or doc_id % 11 = 0""")
+def binding_violations(spark, sf_dir):
+    d, digest = F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    own = F.struct((d + F.when(d % 7 == 0, 1).otherwise(0)).alias("message_id"), F.when(d % 11 == 0, F.lit("x")).otherwise(digest).alias("message_hash"))
+    bound = F.array(own)
+    rows = docs.select(d.alias("query_id"), F.array(d).alias("gold_ids"), F.when(d % 13 == 0, F.slice(bound, 1, 0)).otherwise(bound).alias("bindings"))
+    return gates.binding_violations(rows, docs.filter(d % 5 != 0).select(d.alias("message_id"), digest.alias("hash")))
+
+
+@query("select c_custkey channel_id, greatest(c_nationkey * 100, m)::bigint last_ordinal from customer left join (select o_custkey c_custkey, max(o_orderkey) m from orders group by 1) using (c_custkey)")
+def raised_last(spark, sf_dir):
+    channels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel_id"), (F.col("c_nationkey") * 100).cast("long").alias("last_ordinal"))
+    return feed.raised_last(channels, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("ordinal")))
