@@ -65,13 +65,15 @@ def resolve_media(questions: DataFrame, media: DataFrame) -> DataFrame:
 
     questions: (question_id, channel_id, session, image); media: (media_id, channel_id, path).
     Of the files with the name in the channel the session in the image's own path is best (1),
-    then the question's session (2), then any (3); ties go to the smaller id. One equi-join.
+    then the question's session (2), then any (3); ties go to the smaller id. Media are first
+    folded to a map of sessions for each name, so a common name adds no rows to the one join.
     """
-    asked = questions.select(
-        "question_id", "channel_id", F.col("session").alias("_asked"), F.when(F.contains("image", F.lit("/")), F.substring_index("image", "/", 1)).alias("_named"), F.substring_index("image", "/", -1).alias("_file")
-    )
+    named = F.when(F.contains("image", F.lit("/")), F.substring_index("image", "/", 1))
+    asked = questions.select("question_id", "channel_id", F.col("session").alias("_asked"), named.alias("_named"), F.substring_index("image", "/", -1).alias("_file"))
     place = r"([^/]+)/image/([^/]+)$"
-    held = media.select("media_id", "channel_id", F.regexp_extract("path", place, 1).alias("_session"), F.regexp_extract("path", place, 2).alias("_file"))
-    rule = F.when(F.col("_session") == F.col("_named"), 1).when(F.col("_session") == F.col("_asked"), 2).otherwise(3)
-    found = asked.join(held, ["channel_id", "_file"]).groupBy("question_id").agg(F.min(F.struct(rule.alias("rule"), "media_id")).alias("m"))
-    return found.select("question_id", "m.media_id", "m.rule")
+    held = media.select("media_id", "channel_id", F.regexp_extract("path", place, 1).alias("_session"), F.regexp_extract("path", place, 2).alias("_file")).filter("_file <> ''")
+    best = held.groupBy("channel_id", "_file", "_session").agg(F.min("media_id").alias("_id")).filter("_id is not null")
+    best = best.groupBy("channel_id", "_file").agg(F.map_from_entries(F.collect_list(F.struct("_session", "_id"))).alias("_by"), F.min("_id").alias("_any"))
+    found = asked.join(best, ["channel_id", "_file"])
+    own, theirs = (F.try_element_at("_by", F.col(c)) for c in ("_named", "_asked"))
+    return found.select("question_id", F.coalesce(own, theirs, "_any").alias("media_id"), F.when(own.isNotNull(), 1).when(theirs.isNotNull(), 2).otherwise(3).alias("rule"))
