@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import chunks, context, evaluate, feed, gates, lexical, normalize, scope, similarity, windows
 from chatloom.operators.graph import connected_components
+from chatloom.streaming import conversations
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 #: Thresholds that give rows on these tables, in place of the production ones.
@@ -858,3 +859,12 @@ def binding_violations(spark, sf_dir):
 def raised_last(spark, sf_dir):
     channels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel_id"), (F.col("c_nationkey") * 100).cast("long").alias("last_ordinal"))
     return feed.raised_last(channels, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("ordinal")))
+
+
+@query("""with l as (select epoch_us(o_orderdate + to_hours((o_orderkey % 48)::int)) - epoch_us(o_orderdate) us, o_orderpriority p from orders where o_orderkey % 3 = 0)
+select p priority, count(*)::bigint n, quantile_disc(us / 1000.0, 0.5)::double p50, quantile_disc(us / 1000.0, 0.95)::double p95 from l group by 1""")
+def visibility_latency(spark, sf_dir):
+    acks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("acked_at"), F.col("o_orderpriority").alias("priority"))
+    commits = acks.filter("event_id % 3 = 0").select("event_id", (F.col("acked_at") + F.make_dt_interval(hours=(F.col("event_id") % 48).cast("int"))).alias("committed_at"))
+    late = conversations.visibility_latency(acks, commits).join(acks, "event_id")
+    return late.groupBy("priority").agg(F.count("*").alias("n"), *(evaluate.percentile_nearest("latency_ms", q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95)))
