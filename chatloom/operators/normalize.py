@@ -14,8 +14,8 @@ ORDER = ["session_index", "local_date", "channel_id", "source_turn_index", "mess
 
 def _named(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds display_name: an alias of the role, else of its cleaned form, else that form."""
-    direct = F.broadcast(aliases.limit(100_000).select(F.col("alias").alias("role"), F.col("name").alias("_direct")))
-    cleaned = F.broadcast(aliases.limit(100_000).select(F.col("alias").alias("_candidate"), F.col("name").alias("_cleaned")))
+    direct = aliases.select(F.col("alias").alias("role"), F.col("name").alias("_direct"))
+    cleaned = aliases.select(F.col("alias").alias("_candidate"), F.col("name").alias("_cleaned"))
     rows = rows.join(direct, "role", "left").withColumn("_candidate", T.display_candidate(F.col("role"))).join(cleaned, "_candidate", "left")
     name = F.when(F.col("role") != "Everyone", F.coalesce("_direct", "_cleaned", "_candidate"))
     return rows.withColumn("display_name", name).drop("_direct", "_cleaned", "_candidate")
@@ -24,7 +24,7 @@ def _named(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 def messages(sessions: DataFrame, dates: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row a turn, ranked over the corpus. dates: (raw, day); aliases: (alias, name). An unknown date fails."""
     s = sessions.withColumn("channel_id", T.channel_id(F.col("path"))).withColumn("session_index", T.session_number(F.col("path")))
-    s = s.join(F.broadcast(dates.limit(100_000)), s["timeline_date"] == dates["raw"], "left").drop("raw")
+    s = s.join(dates, s["timeline_date"] == dates["raw"], "left").drop("raw")
     s = s.withColumn("local_date", F.coalesce("day", F.raise_error(F.lit("timeline date has no mapping")).cast("string")))
     flags = adjacent_inversion(s.select("channel_id", "session_index", "local_date"), "channel_id", "session_index", "local_date").select("channel_id", "session_index", "temporal_order_conflict")
     turns = s.select("path", "channel_id", "session_index", "session_id", "local_date", F.posexplode("dialogue").alias("source_turn_index", "turn"))

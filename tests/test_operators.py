@@ -106,6 +106,15 @@ def test_normalisation_end_to_end(spark, tmp_path):
         normalize.messages(files.sessions(spark, str(tmp_path)), dates.filter("raw = 'Monday'"), aliases).count()
 
 
+def test_all_aliases_and_dates_count(spark):
+    n = 100_500
+    s = spark.createDataFrame([("two-party/dialogue1/scenes/session1/session.json", "s1", f"day{n - 1}", [(f"role{n - 1}", ("hi", None))])], "path string, session_id string, timeline_date string, dialogue array<struct<role:string,content:struct<text:string,image:string>>>")
+    ids = spark.range(n)
+    dates = ids.select(F.format_string("day%d", "id").alias("raw"), F.lit("2026-01-05").alias("day"))
+    aliases = ids.select(F.format_string("role%d", "id").alias("alias"), F.format_string("Name %d", "id").alias("name"))
+    assert [r["display_name"] for r in normalize.messages(s, dates, aliases).collect()] == [f"Name {n - 1}"]
+
+
 def test_gold_contract_controls(spark):
     kind = "query_id string, expected_action string, gold_media_ids array<string>, gold_answer string, answer_is_media boolean, acceptable_clarification_targets array<string>"
     good = [("1", "return_result", [], "x", False, []), ("2", "return_result", ["m"], "", True, []), ("3", "clarify", [], "", False, ["t"]), ("4", "no_result", None, None, None, None)]
