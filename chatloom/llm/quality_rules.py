@@ -38,8 +38,8 @@ def _has_word(text: Column) -> Column:
     return text.rlike(r"[^\x20\x09-\x0D]")
 
 
-#: Holds wherever most letters of a line are capitals: two in a row among its letters, or a single one.
-SHOUT_HINT = r"(?m)\p{Lu}\P{L}*+(?:\p{Lu}|$)"
+#: Holds wherever most letters of a line are capitals: two in a row among its letters, or a single one. Never looks past the line.
+SHOUT_HINT = r"\p{Lu}[^\p{L}\n]*+(?:\p{Lu}|\n|\z)"
 
 
 def line_fails(line: Column, symbols: Column | None = None, separators: Column | None = None, shouts: Column | None = None, phrases: Column | None = None) -> Column:

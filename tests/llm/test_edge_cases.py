@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatloom.llm.catalog import QUERIES
+from chatloom.llm.quality_rules import clean_lines
 
 LONG = " ".join(f"w{k % 997}x{k % 13}" for k in range(30_000)) + "."
 TEXT = "The quick brown fox of the north is running to the lazy dog with a happy cat and another fox in the garden of the old house."
@@ -72,3 +73,11 @@ def test_defined_results(spark, odd):
     pieces = QUERIES["op1_packing"](spark, odd).collect()
     assert sum(r["length"] for r in pieces if r["doc_id"] == 2) == 1 and sum(r["length"] for r in pieces if r["doc_id"] == 1) == 2 * next(r["doc_tokens"] for r in pieces if r["doc_id"] == 1)
     assert all(0 <= r["score"] <= 1 for n in ("op7_toxicity", "op8_quality_classifier") for r in QUERIES[n](spark, odd).collect())
+
+
+@pytest.mark.parametrize("end", ["", "\r"])
+def test_a_lone_capital_before_a_small_letter(spark, end):
+    first, rest = f"12 34 B 56{end}", "foo bar and so on it goes with many more plain words until there are at least twenty of them in all here"
+    rows = spark.createDataFrame([(1, f"{first}\n{rest}"), (2, first)], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in clean_lines(rows).collect()}
+    assert got == {1: rest, 2: ""}
