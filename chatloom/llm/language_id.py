@@ -103,7 +103,7 @@ def learn_profiles(docs: DataFrame, teaches: Column, length: int = PROFILE, teac
     rows = docs.filter(teaches & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.lit(teachers * (1 << 20)) / F.col("rows")
-    chosen = rows.join(F.broadcast(sizes.orderBy(F.desc("rows"), "lang").limit(1000)), "lang").filter(share).select("lang", "text")
+    chosen = rows.join(F.broadcast(sizes), "lang").filter(share).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
     counts = chosen.mapInArrow(per_slice(_count_grams, schema), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = _top(counts, length)

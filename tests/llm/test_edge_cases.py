@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatloom.llm.catalog import QUERIES
+from chatloom.llm.language_id import learn_profiles
 from chatloom.llm.quality_rules import clean_lines
 
 LONG = " ".join(f"w{k % 997}x{k % 13}" for k in range(30_000)) + "."
@@ -81,3 +82,8 @@ def test_a_lone_capital_before_a_small_letter(spark, end):
     rows = spark.createDataFrame([(1, f"{first}\n{rest}"), (2, first)], "doc_id long, text string")
     got = {r["doc_id"]: r["clean_text"] for r in clean_lines(rows).collect()}
     assert got == {1: rest, 2: ""}
+
+
+def test_every_language_has_a_profile(spark):
+    docs = spark.range(1100).select(F.col("id").alias("doc_id"), F.format_string("words of language %d", "id").alias("text"), F.format_string("l%d", "id").alias("lang"))
+    assert len(learn_profiles(docs, F.lit(True))) == 1100
