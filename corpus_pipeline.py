@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import decontamination, language_id, packing, quality_classifier, simhash
+from chatloom.llm import decontamination, language_id, near_copies, packing, quality_classifier
 from chatloom.llm.common import documents, kept_rows
 from chatloom.session import shared_dir
 
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return simhash.without_near_duplicates(docs)
+    """The document with the smallest id of each group of near copies."""
+    return near_copies.without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
 
-#: Neither the learned stages nor fingerprints and tiles can be written in SQL.
+#: Neither the learned stages nor shingle sets and tiles can be written in SQL.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chatloom.llm import decontamination as D
 from chatloom.llm import language_id as L
+from chatloom.llm import near_copies as N
 from chatloom.llm import packing as P
 from chatloom.llm import pitman_yor as H
 from chatloom.llm import quality_classifier as Q
@@ -151,6 +152,39 @@ def test_tiles_lose_no_link(spark, tile, visitors):
     assert {k: got.get(k, k) for k in range(len(fps))} == dict(enumerate(label))
 
 
+def test_edited_copies_leave_the_near_duplicate_stage(spark):
+    r = random.Random(8)
+    rows, words = [], {}
+    for k in range(30):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randrange(5, 400))]
+        for j, edits in enumerate((0, 1, 2, 4, 8, 12)):
+            own = list(base)
+            for at in r.sample(range(len(own)), min(edits, len(own))):
+                own[at] = f"x{r.randrange(5000)}"
+            words[10 * k + j] = own
+    words |= {1000 + k: ["the", "same", "line", "in", "every", "text", "of", "these", *(f"y{k}z{j}" for j in range(3 * k))] for k in range(60)}
+    rows = [(k, " ".join(w)) for k, w in words.items()] + [(None, "a b"), (None, "a b"), (0, " ".join(words[0])), (2000, " ".join(words[0]).upper())]
+    sets = {k: {tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    near = {a: [b for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])] for a in sets}
+    label = {k: k for k in sets}
+    for _ in range(8):
+        label = {a: min(label[b] for b in near[a]) for a in sets}
+    assert 90 < len(set(label.values())) < len(label) - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert got.count(None) == 2 and sorted(x for x in got if x is not None) == sorted(set(label.values()))
+
+
+def test_pairs_that_meet_are_the_same_whatever_is_common(spark, sf):
+    docs = _docs(spark, sf)
+    want = {r["doc_id"]: r["component_id"] for r in N.near_copies(docs).collect()}
+    was, N.COMMON = N.COMMON, 1
+    try:
+        assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs).collect()} == want
+    finally:
+        N.COMMON = was
+
+
 # --- decontamination
 
 
