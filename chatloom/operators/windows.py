@@ -78,7 +78,7 @@ def bursts(rows: DataFrame, group: str, order: str, sender: str, is_image: str)
 
 def sequence_id(rows: DataFrame, stratum: str, order: list[str], prefix: str = "q") -> DataFrame:
     k = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return rows.withColumn("query_id", F.concat_ws("_", F.lit(prefix), F.col(stratum).cast("string"), F.lpad(k.cast("string"), 4, "0")))
+    return rows.withColumn("query_id", F.concat_ws("_", F.lit(prefix), F.col(stratum).cast("string"), F.lpad(k.cast("string"), F.greatest(F.lit(4), F.length(k.cast("string"))), F.lit("0"))))
 
 
 def systematic_sample(rows: DataFrame, order: list[str], every: int = 20) -> DataFrame:

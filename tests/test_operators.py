@@ -11,6 +11,12 @@ from chatloom.operators.graph import connected_components
 from chatloom.sources import files
 
 
+def test_sequence_ids_of_a_large_stratum(spark):
+    rows = windows.sequence_id(spark.range(1, 10_102).select("id", F.lit(1).alias("s")), "s", ["id"])
+    got = {r["id"]: r["query_id"] for r in rows.collect()}
+    assert got == {k: f"q_1_{k:04d}" for k in range(1, 10_102)}
+
+
 def test_chunk_limits_and_long_first_message(spark):
     rows = [("c", k, "w " * n) for k, n in enumerate([500, 1, 10, 395, 1, 399, 1])]
     got = chunks.greedy_chunks(spark.createDataFrame(rows, "ch string, o long, t string"), "ch", "o", "t").orderBy("o").collect()
