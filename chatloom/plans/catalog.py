@@ -578,9 +578,9 @@ a as (select *, row_number() over (partition by item_id, session order by k) nth
 c as (select *, row_number() over (partition by item_id order by k) as pos from b)
 select item_id, doc_id from c where pos <= 3 or (pos > 3 and nth = 1 and not exists (select 1 from c d where d.item_id = c.item_id and d.pos < c.pos and d.nth = 1 and d.pos >= 3))""")
 def diverse_evidence(spark, sf_dir):
-    n = table(spark, sf_dir, "benchmark").select("item_id").limit(10_000).collect()
-    ids = F.array(*(F.lit(r[0]) for r in sorted(n)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("session"), F.explode(F.filter(ids, lambda i: (i * 7 + F.col("doc_id")) % 23 == 0)).alias("item_id"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.pmod(F.col("item_id") * 7, F.lit(23)).alias("residue"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("session"), F.pmod(-F.col("doc_id"), F.lit(23)).alias("residue"))
+    rows = docs.join(items, "residue").drop("residue")
     return windows.diverse_evidence(rows, "item_id", "session", ["doc_id"]).select("item_id", "doc_id")
 
 

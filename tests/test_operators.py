@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import chunks, evaluate, feed, gates, normalize, release, scope, similarity, windows
 from chatloom.operators.graph import connected_components
+from chatloom.plans import catalog
 from chatloom.sources import files
 
 
@@ -17,6 +18,13 @@ def test_sequence_ids_of_a_large_stratum(spark):
     assert got == {k: f"q_1_{k:04d}" for k in range(1, 10_102)}
 
 
+def test_evidence_of_every_item(spark, tmp_path):
+    spark.range(-3, 10_500).select(F.col("id").alias("item_id")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(23).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["diverse_evidence"](spark, str(tmp_path)).collect()))
+    assert got == [(k, -7 * k % 23) for k in range(-3, 10_500)]
+
+
 def test_chunk_limits_and_long_first_message(spark):
     rows = [("c", k, "w " * n) for k, n in enumerate([500, 1, 10, 395, 1, 399, 1])]
     got = chunks.greedy_chunks(spark.createDataFrame(rows, "ch string, o long, t string"), "ch", "o", "t").orderBy("o").collect()
