@@ -286,6 +286,47 @@ def test_label_model_learns_accuracies_and_correlation():
     assert ((post > 0.5) == y).mean() > 0.93 and abs(model.prior[1] - 0.2) < 0.05
 
 
+def test_toxicity_equals_a_plain_version(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(X.FOLDS)).cast("int").alias("fold")).collect()
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    teach = {r["doc_id"]: r for r in docs if r["doc_id"] in y and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    lexicons = {}
+    for kind in "wp":
+        for fold in range(X.FOLDS):
+            n = Counter()
+            for k, r in teach.items():
+                words = {w for w in X._WORD.findall((r["text"] or "").lower())} if r["fold"] == fold else set()
+                n.update((e, y[k]) for e in (words if kind == "w" else {w[:m] for w in words for m in X.PREFIXES if len(w) > m}))
+            rated = [(-round(n[e, 1] / (n[e, 1] + n[e, 0] + 1) * np.log1p(n[e, 1]), 9), e) for e in {e for e, _ in n} if n[e, 1] >= X.LEAST_TOXIC and n[e, 1] - n[e, 1] ** 0.5 >= X.LEAST_RATIO * (n[e, 1] + n[e, 0])]
+            lexicons[kind, fold] = [e for _, e in sorted(rated)[: X.ENTRIES]]
+    got = X.toxicity(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), ~X.remainder_is(F.col("doc_id"), 5, 0)).collect()
+    lexicon = X.Lexicon(lexicons)
+    assert lexicon.size > 5 and len(got) == len(docs)
+    text, own = {r["doc_id"]: r["text"] or "" for r in docs}, {}
+    for r in got:
+        words = X._WORD.findall(text[r["doc_id"]].lower())
+        hits, votes = lexicon.read(text[r["doc_id"]])
+        assert r["votes"] == votes and dict(zip(r["idx"], r["cnt"], strict=True)) == hits
+        for e, at in lexicon.at["w"].items():
+            assert hits.get(at, 0) == words.count(e)
+        for e, at in lexicon.at["p"].items():
+            assert hits.get(at, 0) == sum(len(w) > len(e) and w.startswith(e) for w in words)
+        for k in range(X.FOLDS):  # a voter sees its own lexicon alone
+            assert (votes[k] == "2") == any(w in lexicons["w", k] for w in words)
+        own[r["doc_id"]] = votes
+    count, known = Counter(own.values()), Counter((own[k], y[k]) for k in teach)
+    names = sorted(count)
+    model = X.LabelModel(X._digits(names), np.array([count[p] for p in names], float), np.array([[known[p, v] for v in (0, 1)] for p in names], float))
+    post = dict(zip(names, model.posterior(X._digits(names)), strict=True))
+    assert all(abs(r["label_posterior"] - post[r["votes"]]) < 1e-6 for r in got)
+    rows = sorted(got, key=lambda r: (not r["idx"], r["doc_id"]))
+    table = X._digits([r["votes"] for r in rows])
+    x = X.features([r["idx"] for r in rows], [r["cnt"] for r in rows], table, lexicon.size)
+    w, b = X.fit_linear(x, model.posterior(table))
+    plain = 1 / (1 + np.exp(-(x.astype(float) @ w + b)))
+    assert np.abs(plain - np.array([r["score"] for r in rows])).max() < 0.02  # rows in another order add up in another order
+
+
 def test_attention_gradients_and_learning():
     r = np.random.default_rng(0)
     x, counts = r.normal(size=(60, Q.FEATURES)), np.array([1, 5, 4] * 6)
