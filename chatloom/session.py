@@ -23,15 +23,24 @@ def build_session(app: str = "chatloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="chatloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
