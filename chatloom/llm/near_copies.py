@@ -1,13 +1,18 @@
-"""Near copies by word shingles: every pair of texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
+"""The near-duplicate stage: SimHash groups of 5-word shingles, tested exactly, then completed to a Jaccard similarity of 0.8.
 
-A pair that similar shares one of the first n - ceil(0.8 n) + 1 shingles of each of its
-sets, whatever order all shingles are put in, so the pairs that meet at one of those hold
-every pair sought. The order puts shingles seen often in a sample last, which only keeps
-the meetings few. How often a pair meets bounds its overlap from above; pairs that could
-reach 0.8 are tested on whole sets.
+First the SimHash operator (5-word shingles) groups the documents, and every document is tested on
+whole shingle sets against the first one of its group: what passes is linked. Fingerprints alone
+cannot hold a similarity of 0.8 (such pairs differ by some 10 of 64 bits, unrelated ones by as few as 15), so a
+second pass finds the pairs that they missed: two sets that similar share one of the first n - ceil(0.8 n) + 1
+shingles of each, whatever order all shingles are put in. The order puts shingles seen often in a
+sample last, which only keeps the meetings few. Only meetings of documents that are not yet linked
+count, so the copies in a group meet nobody and no group yields all its pairs. How often a pair
+meets bounds its overlap from above; pairs that could reach 0.8 are tested on whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null and blank texts are
-copies of each other; rows without a doc_id stay, and link no others.
+copies of each other; rows without a doc_id stay, and link no others; a doc_id with several texts links what
+any of them is similar to, and the row with its smallest text stays; an exact similarity of 0.8 links; a long text is
+one sorted array of numbers; an empty table gives no rows; extra columns are kept and may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import bounded_batches, per_slice, slices
+from chatloom.llm.simhash import near_duplicates, one_of_each_id
 from chatloom.operators.graph import connected_components
 from chatloom.session import staged
 
@@ -101,23 +107,23 @@ def _first(sent):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle -> the members of each shingle with several, by their smallest."""
+    """Rows (shingle, id, n, part) sorted by shingle -> the members of each shingle with several parts, by their smallest."""
     open_: list[np.ndarray] = []
 
     def closed(rows: np.ndarray) -> pa.RecordBatch:
         edge = np.nonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))[0] if rows.shape[1] else np.zeros(0, np.int64)
-        many = np.diff(np.append(edge, rows.shape[1])) > 1
-        inside = np.repeat(many, np.diff(np.append(edge, rows.shape[1])))
-        at = np.concatenate(([0], np.cumsum(np.diff(np.append(edge, rows.shape[1]))[many])))
-        ids, n = rows[1, inside], rows[2, inside]
-        low = np.minimum.reduceat(ids, at[:-1]) if len(at) > 1 else ids
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (ids, n)]
-        return pa.RecordBatch.from_arrays([pa.array(low), *lists], names=["low", "ids", "ns"])
+        size = np.diff(np.append(edge, rows.shape[1]))
+        many = np.minimum.reduceat(rows[3], edge) < np.maximum.reduceat(rows[3], edge) if len(edge) else np.zeros(0, bool)
+        inside = np.repeat(many, size)
+        at = np.concatenate(([0], np.cumsum(size[many])))
+        low = np.minimum.reduceat(rows[1, inside], at[:-1]) if len(at) > 1 else rows[1, inside]
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows[k, inside])) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(low), *lists], names=["low", "ids", "ns", "parts"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(3)])
+        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(4)])
         last = int(np.searchsorted(rows[0], rows[0, -1]))
         if last or open_ and open_[-1][0, -1] != rows[0, 0]:
             # The open shingle's rows end before `last`, or before this batch.
@@ -133,7 +139,7 @@ HELD = 1 << 20
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, met) of members whose sizes allow the similarity; counts of a pair may come in parts."""
+    """(a, b, na, nb, met) of members of different parts whose sizes allow the similarity; counts of a pair may come in pieces."""
     parts: list[np.ndarray] = []
     held = 0
 
@@ -148,14 +154,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, ns = (np.asarray(batch.column(c)[k].values, np.int64) for c in (1, 2))
-            ids, ns = ids[order := np.argsort(ids)], ns[order]
-            for i in range(len(ids) - 1):
-                fit = i + 1 + np.nonzero(LEAST[1] * np.minimum(ns[i], ns[i + 1 :]) >= LEAST[0] * np.maximum(ns[i], ns[i + 1 :]))[0]
+            ids, ns, part = (np.asarray(batch.column(c)[k].values, np.int64) for c in (1, 2, 3))
+            # Members of the largest part come last and only meet those before them.
+            _, which, size = np.unique(part, return_inverse=True, return_counts=True)
+            order = np.lexsort((ids, which == np.argmax(size)))
+            ids, ns, part = ids[order], ns[order], part[order]
+            for i in range(len(ids) - int(size.max())):
+                near = LEAST[1] * np.minimum(ns[i], ns[i + 1 :]) >= LEAST[0] * np.maximum(ns[i], ns[i + 1 :])
+                fit = i + 1 + np.nonzero(near & (part[i + 1 :] != part[i]))[0]
                 if not len(fit):
                     continue
-                full = np.full(len(fit), 1)
-                parts.append(np.stack([full * ids[i], ids[fit], full * ns[i], ns[fit], full]))
+                first = ids[i] < ids[fit]
+                pick = lambda x: (np.where(first, x[i], x[fit]), np.where(first, x[fit], x[i]))  # noqa: B023, E731
+                parts.append(np.stack([*pick(ids), *pick(ns), np.full(len(fit), 1)]))
                 held += len(fit)
                 if held > HELD:
                     parts = [counted()]
@@ -170,17 +181,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TEST = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def similar_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b) of similar, different sets, each by its id; docs: (id, text); firsts: (id, n, first)."""
-    met = firsts.select(F.explode("first").alias("shingle"), "id", "n")
-    met = met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings, "low long, ids array<long>, ns array<long>")
-    pairs = met.repartition("low").sortWithinPartitions("low").mapInArrow(_pairs, "a long, b long, na long, nb long, met long")
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
-    up, down = LEAST
-    # Beyond the first shingles of the set whose first ones end sooner, ceil(up / down n) - 1 are left to share.
-    left = F.ceil(F.greatest("na", "nb") * up / F.lit(down)) - 1
-    pairs = staged(pairs.filter((F.col("met") + left) * (up + down) >= (F.col("na") + F.col("nb")) * up).select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def similar_among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are similar on whole sets; docs: (id, text)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.lit(1).alias("one")).select("id")
     sets = docs.join(ids, "id", "left_semi").mapInArrow(per_slice(lambda rows, texts: {"id": rows.column(0), "shingles": shingle_sets(texts)}, _TEST), "id long, shingles array<long>")
     sets = staged(sets)
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
@@ -193,22 +196,46 @@ def similar_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tested, "a long, b long")
 
 
+def meeting_pairs(firsts: DataFrame) -> DataFrame:
+    """(a, b) of sets of different parts that could be similar; firsts: (id, n, first, part)."""
+    met = firsts.select(F.explode("first").alias("shingle"), "id", "n", "part")
+    # Most shingles are of one part, among them those of large groups of copies: they go before rows of a shingle come together.
+    mixed = met.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("shingle")
+    met = met.join(mixed, "shingle", "left_semi")
+    met = met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings, "low long, ids array<long>, ns array<long>, parts array<long>")
+    pairs = met.repartition("low").sortWithinPartitions("low").mapInArrow(_pairs, "a long, b long, na long, nb long, met long")
+    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
+    up, down = LEAST
+    # Beyond the first shingles of the set whose first ones end sooner, ceil(up / down n) - 1 are left to share.
+    left = F.ceil(F.greatest("na", "nb") * up / F.lit(down)) - 1
+    return pairs.filter((F.col("met") + left) * (up + down) >= (F.col("na") + F.col("nb")) * up).select("a", "b")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id; the smallest doc_id of what similar texts link."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = rows.withColumnRenamed("doc_id", "id")
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows))
     every = staged(rows.mapInArrow(per_slice(_first(sent), _FIRST), "doc_id long, key long, n long, first array<long>"))
+    # A set stands for all texts that have it, under its smallest id.
     firsts = staged(every.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
-    named = every.select("doc_id", "key").join(firsts.select("key", "id"), "key")
-    # A doc_id with several texts has several sets here, and links what any of them is similar to.
-    texts = rows.withColumnRenamed("doc_id", "id")
-    links = staged(similar_pairs(texts, firsts.select("id", "n", "first")))
+    named = staged(every.select("doc_id", "key").join(firsts.select("key", "id"), "key").groupBy("doc_id", "id").agg(F.lit(1).alias("one")).select("doc_id", "id"))
+    # Groups of the SimHash operator: each set against the first document of its group.
+    groups = near_duplicates(rows, width=WIDTH).select("doc_id", "component_id").join(named, "doc_id")
+    first = groups.filter("doc_id = component_id").groupBy("component_id").agg(F.min("id").alias("b"))
+    likely = groups.join(first, "component_id").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.lit(1).alias("one")).select("a", "b")
+    links = staged(similar_among(texts, staged(likely)))
+    # Copies that share an id but not a set are linked by it.
+    parts = staged(connected_components(links, "a", "b"))
+    parted = firsts.join(parts, firsts["id"] == parts["node"], "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
+    links = staged(links.unionByName(similar_among(texts, staged(meeting_pairs(parted)))))
     parts = connected_components(links, "a", "b")
-    return named.join(parts, named["id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
+    found = named.join(parts, named["id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows, all columns, of the smallest doc_id of each group; rows without a doc_id stay."""
-    first = staged(near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    first = staged(near_copies(docs).filter("doc_id = component_id").select("doc_id"))
+    return one_of_each_id(docs, first).unionByName(docs.filter("doc_id is null"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chatloom.llm import pipeline as K
 from chatloom.llm import decontamination as D
 from chatloom.llm import language_id as L
 from chatloom.llm import near_copies as N
@@ -171,7 +172,7 @@ def test_edited_copies_leave_the_near_duplicate_stage(spark):
         label = {a: min(label[b] for b in near[a]) for a in sets}
     assert 90 < len(set(label.values())) < len(label) - 40
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = [x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    got = [x["doc_id"] for x in K.near_dedup(spark, docs, "").collect()]
     assert got.count(None) == 2 and sorted(x for x in got if x is not None) == sorted(set(label.values()))
 
 
@@ -369,16 +370,61 @@ def test_commits_are_idempotent_and_signed(spark, tmp_path):
     assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v2", 1, 7)]
 
 
+def _jaccard_groups(texts):
+    """doc_id -> smallest doc_id of its group, by comparing all shingle sets."""
+    words = {k: ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in x.split()] for k, x in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    label, ids = {k: k for k in sets}, sorted(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(len(ids)):
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
 def test_pipeline_stages_against_plain_filters(spark, sf):
     docs = _docs(spark, sf)
-    kept = corpus_pipeline.language(spark, docs, sf)
-    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
-    good = corpus_pipeline.quality(spark, kept, sf)
-    once = corpus_pipeline.near_dedup(spark, good, sf)
-    ids = [r["doc_id"] for r in once.select("doc_id").collect()]
-    assert sorted(ids) == sorted({r["component_id"] for r in S.near_duplicates(good).collect()})
-    clean = corpus_pipeline.decontaminate(spark, once, sf)
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    kept = K.language(spark, docs, sf)
+    found = L.identify(docs, L.learn_profiles(docs, L.teaching_rows())).collect()
+    assert kept.columns == docs.columns and ids(kept) == sorted(r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= K.LEAST_LANGUAGE_SCORE)
+    good = K.quality(spark, kept, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rated = Q.scored(kept, Q.learn(kept, labels, "quality", Q.teaching_rows())).collect()
+    assert good.columns == docs.columns and ids(good) == sorted(r["doc_id"] for r in rated if r["score"] >= 0.3)
+    once = K.near_dedup(spark, good, sf)
+    groups = _jaccard_groups({r["doc_id"]: r["text"] for r in good.collect()})
+    assert once.columns == docs.columns and ids(once) == sorted(set(groups.values()))
+    clean = K.decontaminate(spark, once, sf)
     flagged = {r["doc_id"] for r in D.contaminated_pairs(once, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    assert {r["doc_id"] for r in clean.select("doc_id").collect()} == set(ids) - flagged and clean.columns == docs.columns
-    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").join(kept, "doc_id", "left_semi")
-    assert labels.join(good, "doc_id", "left_semi").count() >= 0.97 * labels.count()
+    assert set(ids(clean)) == set(ids(once)) - flagged and clean.columns == docs.columns
+    pieces = K.pack(spark, clean, sf).collect()
+    whole = Counter()
+    for r in pieces:
+        whole[r["doc_id"]] += r["length"]
+    assert sorted(whole) == ids(clean) and all(whole[r["doc_id"]] == r["doc_tokens"] for r in pieces)
+    good_labels = labels.filter("quality = 1").join(kept, "doc_id", "left_semi")
+    assert good_labels.join(good, "doc_id", "left_semi").count() >= 0.97 * good_labels.count()
+    ran = corpus_pipeline.run(spark, sf)
+    assert Counter((r["doc_id"], r["length"]) for r in ran.collect()).keys() <= {(r["doc_id"], n) for r in pieces for n in range(1, 2049)}
+
+
+def test_a_group_of_near_copies_meets_nobody(spark):
+    r = random.Random(3)
+    base = [f"w{r.randrange(3000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 400):
+        own = list(base)
+        own[r.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+    real = N.meeting_pairs
+    N.meeting_pairs = lambda firsts: seen.setdefault("pairs", real(firsts))
+    try:
+        assert {x["component_id"] for x in N.near_copies(docs).collect()} == {0}
+    finally:
+        N.meeting_pairs = real
+    assert seen["pairs"].count() < 4 * 400  # of 79,800
