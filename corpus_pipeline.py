@@ -1,58 +1,5 @@
-"""From raw documents to packed sequences, as stages that each work on what the one before has kept."""
+"""From raw documents to packed sequences; the stages and their rules are in chatloom/llm/pipeline.py."""
 
-from __future__ import annotations
+from chatloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-from chatloom.llm import decontamination, language_id, near_copies, packing, quality_classifier
-from chatloom.llm.common import documents, kept_rows
-from chatloom.session import shared_dir
-
-#: A text farther than this from every language profile is of no known language.
-LEAST_LANGUAGE_SCORE = 0.15
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
-    keeps = language_id.in_known_language(language_id.learn_profiles(docs, language_id.teaching_rows()), LEAST_LANGUAGE_SCORE)
-    return kept_rows(docs, keeps, most_chars=language_id.SLICE)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier passes; it learns from labels of what is left."""
-    model = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality_classifier.teaching_rows())
-    sent = spark.sparkContext.broadcast(model)
-    return kept_rows(docs, lambda texts: np.asarray(sent.value.score(texts)) >= quality_classifier.PREDICT_AT)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return near_copies.without_near_copies(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not cover a benchmark item."""
-    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
-    return packing.packed(docs)
-
-
-STAGES = [("language", language), ("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
-
-#: Neither the learned stages nor shingle sets and tiles can be written in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage's result is written as Parquet in the shared folder and read again."""
-    docs, root = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
