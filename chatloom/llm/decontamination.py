@@ -9,9 +9,14 @@ if tiles cover enough of the item.
 The benchmark is read in blocks of bounded size, each one sent to all tasks, so it may be
 of any size. Documents are read whole where they lie; nothing is shuffled.
 
+A pair is tiled only if the item's words under shared seeds could reach the threshold, which loses
+no pair: items that share a common wording are told apart by counts.
+
 Defined cases: null or empty texts match nothing; items without a word are left out;
 items with fewer words than `least` must occur whole; a null doc_id or item_id stays null;
-repeated rows give repeated results; an empty benchmark gives no pairs.
+repeated rows give repeated results; of matches of one length the first in the item, then in the document, is
+marked first; very long texts are looked at whole; an empty benchmark or an empty table of documents gives no
+pairs; extra columns of any name are ignored (and kept by without_contaminated).
 """
 
 from __future__ import annotations
@@ -86,24 +91,70 @@ def greedy_tiles(item: list[int], doc: list[int], least: int = LEAST, length: in
         n = max(least, n // 2)
 
 
+#: Seeds of all pairs looked at together.
+HELD = 1 << 22
+
+
+class _Seeds:
+    """All runs of n words of the items: sorted hashes, and for each the (item, position) pairs that have it."""
+
+    def __init__(self, n: int, runs: list[tuple[int, int, int]]):
+        self.n = n
+        h, item, at = (np.array(x, t) for x, t in zip(zip(*runs, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+        order = np.lexsort((at, item, h))
+        self.item, self.at = item[order], at[order]
+        self.hashes, self.start = np.unique(h[order], return_index=True)
+        self.size = np.diff(np.append(self.start, len(order)))
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For hashes by number: whose turn it is, and places in item and at, one after the other."""
+        size = self.size[which]
+        turn = np.repeat(np.arange(len(which)), size)
+        return turn, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[which], size)
+
+
 class Items:
     """A block of the benchmark, indexed by seeds."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], least: int = LEAST):
         self.vocabulary: dict[str, int] = {}
         self.items, self.least = [], least
-        seeds = defaultdict(lambda: defaultdict(set))  # seed length -> hash -> items
+        runs = defaultdict(list)  # seed length -> (hash, item, position)
         for item_id, text in rows:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
             if ids:
                 n = min(least, len(ids))
-                for _, h in _rolled(ids, bytearray(b"\1" * len(ids)), n):
-                    seeds[n][h].add(len(self.items))
+                runs[n] += [(h, len(self.items), at) for at, h in _rolled(ids, bytearray(b"\1" * len(ids)), n)]
                 self.items.append((item_id, ids))
-        self.seeds = {n: (np.sort(np.fromiter(x, np.uint64, len(x))), {h: sorted(v) for h, v in x.items()}) for n, x in seeds.items()}
-
-    def match(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(number of the text, number of the item, tiles) for every pair that shares a seed."""
+        self.lengths = np.array([len(x[1]) for x in self.items], np.int64)
+        self.seeds = [_Seeds(n, x) for n, x in sorted(runs.items())]
+
+    def _likely(self, seeds: _Seeds, doc: np.ndarray, which: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
+        """(text, item) pairs whose seeds cover enough of the item. doc, which: distinct pairs of a text and a seed's number, sorted."""
+        total = np.append(0, np.cumsum(seeds.size[which]))
+        edges = np.append(np.nonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[0], len(doc)) if len(doc) else np.zeros(1, np.int64)
+        k = 0
+        while k < len(edges) - 1:
+            # As many whole texts as stay within HELD, one at least.
+            to = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + HELD, side="right")) - 1)
+            at, stop, k = edges[k], edges[to], to
+            turn, place = seeds.places(which[at:stop])
+            own, item, pos = doc[at:stop][turn], seeds.item[place], seeds.at[place]
+            order = np.lexsort((pos, item, own))
+            own, item, pos = own[order], item[order], pos[order]
+            edge = np.nonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (item[1:] != item[:-1]))))[0]
+            width = np.minimum(np.append(pos[1:] - pos[:-1], seeds.n), seeds.n)
+            width[np.append(edge[1:], len(pos)) - 1] = seeds.n
+            most = np.add.reduceat(width, edge)
+            good = edge[most >= coverage * self.lengths[item[edge]]]
+            yield from zip(own[good].tolist(), item[good].tolist(), strict=True)
+
+    def match(self, texts: list[str], coverage: float = 0.0) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(number of the text, number of the item, tiles) for every pair that shares a seed and could reach the coverage.
+
+        Tiles lie under shared seeds, so what these cover of an item bounds what tiles can;
+        pairs below the threshold, as those of items with a common beginning, are never tiled.
+        """
         get, ids, size = self.vocabulary.get, [], []
         for text in texts:
             found = [get(w, 0) for w in words(text)]
@@ -112,8 +163,8 @@ class Items:
             size.append(len(found) + 1)
         flat = np.array(ids, np.uint64)
         begin = np.concatenate(([0], np.cumsum(size)))
-        hits = defaultdict(list)  # (text, item) -> (start, stop) of seeds
-        for n, (hashes, where) in self.seeds.items():
+        for seeds in self.seeds:
+            n, hashes = seeds.n, seeds.hashes
             m = len(flat) - n + 1
             if m <= 0:
                 continue
@@ -122,22 +173,27 @@ class Items:
                 key = key * np.uint64(_BASE) + flat[k : k + m]
                 known &= flat[k : k + m] > 0
             at = np.nonzero(known)[0]
-            near = hashes[np.minimum(np.searchsorted(hashes, key[at]), len(hashes) - 1)] == key[at]
-            at = at[near]
-            for pos, h, doc in zip(at.tolist(), key[at].tolist(), (np.searchsorted(begin, at, side="right") - 1).tolist(), strict=True):
-                for item in where[h]:
-                    hits[doc, item].append((pos, pos + n))
-        for (doc, item), spans in sorted(hits.items()):
-            # All of a match lies under seeds, so the rest of the document is left aside.
-            part: list[int] = []
-            stop = -1
-            for a, b in sorted(spans):
-                if a > stop and part:
-                    part.append(0)
-                part += ids[max(a, stop) : b] if b > stop else []
-                stop = max(stop, b)
-            own = self.items[item][1]
-            yield doc, item, greedy_tiles(own, part, min(self.least, len(own)))
+            which = np.minimum(np.searchsorted(hashes, key[at]), len(hashes) - 1)
+            near = hashes[which] == key[at]
+            at, which = at[near], which[near]
+            doc = np.searchsorted(begin, at, side="right") - 1
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            pairs = np.unique(doc * len(hashes) + which)
+            held: dict[int, np.ndarray] = {}
+            for d, item in self._likely(seeds, *np.divmod(pairs, len(hashes)), coverage):
+                own = self.items[item][1]
+                if item not in held:
+                    held[item] = np.array(sorted({h for _, h in _rolled(own, bytearray(b"\1" * len(own)), n)}), np.uint64)
+                mine = slice(first[d], first[d + 1])
+                # All of a match lies under seeds, so the rest of the document is left aside.
+                part: list[int] = []
+                stop = -1
+                for a in at[mine][np.isin(hashes[which[mine]], held[item])].tolist():
+                    if a > stop and part:
+                        part.append(0)
+                    part += ids[max(a, stop) : a + n]
+                    stop = a + n
+                yield d, item, greedy_tiles(own, part, n)
 
 
 def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS, key: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
@@ -161,7 +217,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
             for batch in batches:
                 for part, texts in slices(batch, "text"):
                     ids, found = part.column(0).to_pylist(), []
-                    for doc, item, tiles in items.match(texts):
+                    for doc, item, tiles in items.match(texts, coverage):
                         item_id, own = items.items[item]
                         covered = sum(x[2] for x in tiles)
                         if covered >= coverage * len(own):
@@ -185,7 +241,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEA
             for batch in batches:
                 for part, texts in slices(batch, text):
                     keep = np.ones(len(texts), bool)
-                    for doc, item, tiles in items.match(texts):
+                    for doc, item, tiles in items.match(texts, coverage):
                         keep[doc] &= sum(x[2] for x in tiles) < coverage * len(items.items[item][1])
                     yield part.filter(pa.array(keep))
 

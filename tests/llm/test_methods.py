@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,18 @@ def test_packing_is_an_exact_round_trip(spark, sf):
     assert sum(2048 - n for n in load.values()) < 0.02 * sum(load.values())
 
 
+def test_ids_are_those_of_tokenizers_where_added_tokens_stand():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    bits = ["<|endoftext|>", " ", "a", "\n", "<|endof", "text|>", "Über ", "don't", "  ", "12", "\U0001f600"]
+    for _ in range(300):
+        text = "".join(r.choices(bits, k=r.randrange(12)))
+        assert P.encoder("byte_bpe_50k.json")(text) == t.encode(text, add_special_tokens=False).ids, text
+
+
 # --- language
 
 
@@ -232,6 +245,43 @@ def test_reordered_and_changed_passages_are_caught(spark, sf):
     assert plain and plain <= {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontamination"](spark, sf).collect()}
 
 
+def test_pairs_equal_tiling_of_everything(spark, sf):
+    docs, items = _docs(spark, sf).filter("length(text) < 6000"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): (r["covered"], r["item_words"]) for r in D.contaminated_pairs(docs, items).collect()}
+    want, bench = {}, [(b["item_id"], D.words(b["text"] or "")) for b in items.collect()]
+    for d in docs.collect():
+        own = D.words(d["text"] or "")
+        grams = {tuple(own[i : i + D.LEAST]) for i in range(len(own))}
+        for item_id, words in bench:
+            if not any(tuple(words[i : i + D.LEAST]) in grams for i in range(len(words))):
+                continue  # no tile can be
+            number = {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
+            covered = _plain_tiles([number[w] for w in words], [number.get(w, 0) for w in own], min(D.LEAST, len(words)))
+            if covered >= D.COVERAGE * len(words):
+                want[d["doc_id"], item_id] = (covered, len(words))
+    assert len(want) >= 3 and got == want
+
+
+def test_items_with_a_common_beginning_are_not_tiled(spark):
+    r = random.Random(5)
+    opening = "answer the following question about the text below"
+    rows = [(k, f"{opening} " + " ".join(f"q{r.randrange(9000)}" for _ in range(30))) for k in range(3000)]
+    text = " ".join([opening, *(f"t{r.randrange(5000)}" for _ in range(2000)), rows[7][1]])
+    index = D.Items(rows)
+    began = time.process_time()
+    found = [(d, i) for d, i, _ in index.match([text], D.COVERAGE)]
+    assert found == [(0, 7)] and time.process_time() - began < 1
+    assert len(list(index.match([text]))) == 3000
+    texts = [text, "", "nothing of it", rows[9][1], f"{rows[3][1]} and {rows[4][1]}", opening]
+    want = [(d, i) for d, i, _ in index.match(texts, D.COVERAGE)]
+    assert want == [(0, 7), (3, 9), (4, 3), (4, 4)]
+    was, D.HELD = D.HELD, 1
+    try:
+        assert [(d, i) for d, i, _ in index.match(texts, D.COVERAGE)] == want
+    finally:
+        D.HELD = was
+
+
 # --- language model
 
 
