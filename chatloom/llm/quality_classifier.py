@@ -5,9 +5,11 @@ then a learned tanh layer); gated attention, learned from document labels alone,
 the passages; a logistic unit scores the weighted sum. Training is full-batch Adam on a
 bounded sample of labelled documents; scoring reads every text whole.
 
-Defined cases: a null or blank text is one passage of zeros; null labels teach nothing;
-without both labels every score is the share of label 1 (0.5 with none); repeated rows give
-repeated results; a null doc_id is scored; extra columns are ignored.
+Defined cases: a null or blank text is one passage of zeros; null labels teach nothing; an id labelled
+twice has its larger label; of rows with one id the one with the smallest text teaches;
+without both labels every score is the share of label 1 (0.5 with none); a score at the threshold is
+predicted 1; repeated rows give repeated results; a null doc_id is scored; an empty table gives no
+rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from chatloom.llm.common import bounded_sample, documents, per_slice, remainder_
 PASSAGE = 64
 #: Training uses at most this many labelled documents, those with the smallest hash of their id.
 TEACHERS = 6000
+#: Of a longer teaching text so many passages are learned from, evenly spaced. Scoring takes all.
+TAUGHT_PASSAGES = 128
 HIDDEN, ATTENTION, ROUNDS, RATE, DECAY = 24, 12, 250, 0.02, 1e-4
 PREDICT_AT = 0.3
 
@@ -90,6 +94,17 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, begin)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["e"], -30, 30)))}
 
+    def _gradient(self, f: dict, x: np.ndarray, begin: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict:
+        """Of the mean log loss by each parameter."""
+        p = self.p
+        dy = (f["y"] - y) / len(y)
+        dz = dy[:, None] * p["c"]
+        da = (f["h"] * dz[bag]).sum(1)
+        dl = f["a"] * (da - np.add.reduceat(f["a"] * da, begin)[bag])
+        dt, dg = dl[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), dl[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ dl, "c": f["z"].T @ dy, "e": np.array([dy.sum()])}
+
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> AttentionModel:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -99,14 +114,7 @@ class AttentionModel:
         begin, bag, p = np.concatenate(([0], np.cumsum(counts)[:-1])), np.repeat(np.arange(len(counts)), counts), self.p
         m, v = ({k: np.zeros_like(u) for k, u in p.items()} for _ in range(2))
         for k in range(1, rounds + 1):
-            f = self._forward(x, begin, bag)
-            dy = (f["y"] - y) / len(y)
-            dz = dy[:, None] * p["c"]
-            da = (f["h"] * dz[bag]).sum(1)
-            dl = f["a"] * (da - np.add.reduceat(f["a"] * da, begin)[bag])
-            dt, dg = dl[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), dl[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ dl, "c": f["z"].T @ dy, "e": np.array([dy.sum()])}
+            grad = self._gradient(self._forward(x, begin, bag), x, begin, bag, y)
             for name, d in grad.items():
                 d = d + DECAY * p[name]
                 m[name] = 0.9 * m[name] + 0.1 * d
@@ -124,8 +132,8 @@ class AttentionModel:
 
 def _features(rows: pa.RecordBatch, texts: list[str]) -> dict:
     x, counts = passages(texts)
-    ends = np.cumsum(counts)
-    return {"y": rows.column(rows.schema.get_field_index("y")), "x": [x[b - n : b].ravel() for b, n in zip(ends, counts, strict=True)]}
+    spaced = lambda n: np.unique(np.linspace(0, n - 1, min(n, TAUGHT_PASSAGES)).astype(int))
+    return {"y": rows.column(rows.schema.get_field_index("y")), "x": [x[b - n : b][spaced(n)].ravel() for b, n in zip(np.cumsum(counts), counts, strict=True)]}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, teachers: int = TEACHERS, text: str = "text") -> AttentionModel:
@@ -133,8 +141,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, teach
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & teaches).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = bounded_sample(rows, "doc_id", teachers)
     schema = pa.schema([("y", pa.float64()), ("x", pa.list_(pa.float32()))])
-    bags = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(per_slice(_features, schema), "y double, x array<float>")
-    got = bags.toArrow()  # bounded by the sample
+    taught = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    bags = taught.select("text", "y").mapInArrow(per_slice(_features, schema), "y double, x array<float>")
+    got = bags.toArrow()  # TEACHERS * TAUGHT_PASSAGES passages at most
     x = np.asarray(got.column("x").combine_chunks().flatten(), np.float64).reshape(-1, FEATURES) if got.num_rows else np.zeros((0, FEATURES))
     counts = np.array([len(v) // FEATURES for v in got.column("x")], np.int64)
     y = np.asarray(got.column("y"), np.float64)

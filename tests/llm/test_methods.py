@@ -388,6 +388,34 @@ def test_attention_gradients_and_learning():
     f = model._forward((x - model.mean) / model.scale, begin, bag)
     assert ((f["y"] > 0.5) == (y == 1)).all()
     assert np.allclose(np.add.reduceat(f["a"], begin), 1)
+    fresh = Q.AttentionModel(3)
+    loss = lambda: -np.mean(np.log(np.where(y == 1, z := fresh._forward(x, begin, bag)["y"], 1 - z)))
+    grad = fresh._gradient(fresh._forward(x, begin, bag), x, begin, bag, y)
+    for name, d in grad.items():
+        for at in ([0] * d.ndim, [n - 1 for n in d.shape]):
+            at = tuple(at)
+            was = fresh.p[name][at]
+            fresh.p[name][at] = was + 1e-5
+            up = loss()
+            fresh.p[name][at] = was - 1e-5
+            assert abs((up - loss()) / 2e-5 - d[at]) < 1e-6 + 1e-4 * abs(d[at]), name
+            fresh.p[name][at] = was
+
+
+def test_quality_equals_a_plain_version(spark, sf):
+    docs, labels = _docs(spark, sf), {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    taught = sorted(k for k in labels if k in text and zlib.crc32(str(k).encode()) % 5)
+    x, counts = Q.passages([text[k] for k in taught])
+    model = Q.AttentionModel().fit(x.astype(float), counts, np.array([labels[k] for k in taught], float))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op8_quality_classifier"](spark, sf).collect()}
+    assert max(counts) < Q.TAUGHT_PASSAGES and got.keys() == text.keys()
+    for k, score in got.items():
+        own, n = Q.passages([text[k]])
+        h = np.tanh((own - model.mean) / model.scale @ model.p["W"] + model.p["b"])
+        logit = (np.tanh(h @ model.p["V"]) / (1 + np.exp(-h @ model.p["U"]))) @ model.p["w"]
+        a = np.exp(logit - logit.max())
+        assert abs(score - 1 / (1 + np.exp(-(a @ h / a.sum() @ model.p["c"] + model.p["e"][0])))) < 0.02 and n[0] == len(own)
 
 
 def _auc(y, s):
