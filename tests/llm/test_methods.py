@@ -285,28 +285,102 @@ def test_items_with_a_common_beginning_are_not_tiled(spark):
 # --- language model
 
 
+def _toy(spark, n=60):
+    words = ["a", "b", "the", "of", "x", "y", "z"]
+    rows = [(k, " ".join(random.Random(k).choices([*words, f"rare{k}", f"rare{k % 5}"], k=40))) for k in range(n)]
+    return spark.createDataFrame([*rows, (3, rows[3][1]), (None, "a b"), (None, "a b"), (7000, "all unknown words"), (7001, None)], "doc_id long, text string")
+
+
+def _chances(vocabulary, shared):
+    """(word, restaurant) -> probability, straight from the rows; None is a word not known."""
+    rows, c = {bytes(r["word"]): r for r in vocabulary.collect()}, shared.contexts
+
+    def chance(word, ctx):
+        r = rows.get(word)
+        share = dict(zip(r["ctx"], r["share"], strict=True)) if r else {}
+        if c.is_pair[ctx]:
+            return share.get(ctx, 0) + shared.back[ctx] * chance(word, int(c.parent[ctx]))
+        return share.get(ctx, 0) + shared.back[ctx] * (r["p"] * shared.scale if r else shared.even)
+
+    return rows, chance
+
+
 def test_probabilities_of_each_context_sum_to_one(spark):
-    docs = spark.createDataFrame([(k, " ".join(random.Random(k).choices(["a", "b", "the", "of", "rare%d" % k, "x"], k=30))) for k in range(40)], "doc_id long, text string")
-    vocabulary, chosen, shared = H.learn(docs, F.lit(True), contexts=3)
-    rows = vocabulary.collect()
-    for ctx in range(len(chosen) + 1):
-        known = sum(dict(zip(r["ctx"], r["share"], strict=True)).get(ctx, 0) + shared.back[ctx] * r["p"] for r in rows)
-        assert abs(known + shared.back[ctx] * shared.even - 1) < 0.03  # shares and tables are of different sweeps
-    assert len(rows) == shared.v and sum(r["c"] for r in rows) == shared.n
+    vocabulary, shared = H.learn(_toy(spark, 1200), F.lit(True), share=30, paired=3)
+    rows, chance = _chances(vocabulary, shared)
+    assert shared.contexts.paired == 3 and shared.contexts.n > 5
+    for ctx in np.nonzero(shared.customers)[0]:
+        known = sum(chance(w, int(ctx)) for w in rows)
+        assert abs(known + chance(None, int(ctx)) - 1) < 1e-6
+    assert len(rows) == shared.v and sum(r["c"] for r in rows.values()) == shared.n
+
+
+@pytest.mark.parametrize("frequent,entries,dense", [(1 << 16, 1 << 22, 1 << 11), (6, 1 << 22, 2), (6, 60, 3), (0, 0, 0)])
+def test_scores_equal_a_plain_reading_of_the_vocabulary(spark, frequent, entries, dense):
+    docs = _toy(spark)
+    vocabulary, shared = H.learn(docs.filter("doc_id < 60"), F.lit(True), share=30, paired=3)
+    rows, chance = _chances(vocabulary, shared)
+    number = {w: k for k, w in enumerate(shared.contexts.words)}
+    n, want = shared.contexts.n, []
+    for r in docs.collect():
+        total, seen, tokens = 0.0, [], H.tokens(r["text"] or "")
+        for w in tokens:
+            two = [n, *seen][-1], [n, n, *seen][-2]
+            ctx = n + 1 + two[1] * 3 + two[0] if max(two) < 3 else two[0]
+            total += np.log10(chance(w, ctx))
+            seen += [number[w]] if w in number else []
+        want.append((r["doc_id"] or -1, len(tokens), sum(w in rows for w in tokens), total))
+    got = [(r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["score"]) for r in H.score(docs, vocabulary, shared, frequent, entries, dense).collect()]
+    for a, b in zip(sorted(want), sorted(got), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 * max(1, -a[3])
+
+
+def test_the_cut_of_files_changes_no_score(spark, sf):
+    docs = _docs(spark, sf)
+    scores = []
+    for parts in (1, 7):
+        own = docs.repartition(parts)
+        vocabulary, shared = H.learn(own, F.lit(True))
+        scores.append((shared.contexts.words, {r["doc_id"]: r["score"] for r in H.score(own, vocabulary, shared).collect()}))
+    assert scores[0][0] == scores[1][0] and len(scores[0][0]) > 50
+    assert all(abs(scores[1][1][k] - v) < 1e-5 * max(1, -v) for k, v in scores[0][1].items())
+
+
+def test_context_words_are_exactly_those_with_the_share(spark, sf):
+    texts = [r["text"] or "" for r in _docs(spark, sf).collect()]
+    count = Counter(w for x in texts for w in H.tokens(x))
+    want = {w for w, n in count.items() if w and n * 500 >= count.total()}
+    for parts in (1, 9):
+        assert set(H.context_words(_docs(spark, sf).select("text").repartition(parts), 500)) == want
 
 
 def test_seats_follow_the_exact_posterior():
-    rng, d, opening = np.random.default_rng(1), 0.4, 0.7
-    two = H.seat(np.full(40_000, 2), np.full(40_000, opening), d, rng)
+    d, opening = 0.4, 0.7
+    draws = lambda n: H.Draws(np.arange(n, dtype=np.uint64))
+    two = H.seat(np.full(40_000, 2), np.full(40_000, opening), d, draws(40_000))
     assert abs((two == 2).mean() - opening / (1 - d + opening)) < 0.01
     # Three customers: weight of 1, 2 and 3 tables.
     w = np.array([(1 - d) * (2 - d), 3 * (1 - d) * opening, opening**2])
-    three = H.seat(np.full(40_000, 3), np.full(40_000, opening), d, rng)
+    three = H.seat(np.full(40_000, 3), np.full(40_000, opening), d, draws(40_000))
     assert np.abs(np.bincount(three, minlength=4)[1:] / 40_000 - w / w.sum()).max() < 0.03
-    many = H.seat(np.array([10, 1000, 10**6]), np.array([0.0, 0.5, 5.0]), d, rng)
+    # A block of twelve customers against seating them one by one.
+    rng, plain = np.random.default_rng(0), np.ones(20_000)
+    for seated in range(1, 12):
+        plain += rng.random(20_000) < opening / (seated - d * plain + opening)
+    twelve = H.seat(np.full(20_000, 12), np.full(20_000, opening), d, draws(20_000))
+    assert abs(twelve.mean() - plain.mean()) < 0.05 and abs(twelve.std() - plain.std()) < 0.05
+    many = H.seat(np.array([10, 1000, 10**6]), np.array([0.0, 0.5, 5.0]), d, draws(3))
     assert many[0] == 1 and 1 <= many[1] <= 1000 and many[2] > many[1]
 
 
+def test_keyed_binomials_have_the_right_moments():
+    n = 50_000
+    for trials, p in ((1, 0.3), (7, 0.9), (40, 0.02), (200, 0.6), (5000, 0.5)):
+        got = H.Draws(np.arange(n, dtype=np.uint64), trials).binomial(np.arange(n), np.full(n, trials), np.full(n, p))
+        sd = np.sqrt(trials * p * (1 - p))
+        assert abs(got.mean() - trials * p) < 5 * sd / np.sqrt(n) + 1e-9 and abs(got.std() / sd - 1) < 0.03 and got.min() >= 0 and got.max() <= trials
+
+
 def test_base_scores_and_better_held_out_scores(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in _docs(spark, sf).collect()}
     count = Counter(w for k, x in docs.items() if zlib.crc32(str(k).encode()) % 5 != 1 for w in H.tokens(x))
