@@ -1,12 +1,13 @@
 """The near-duplicate stage: SimHash groups of 5-word shingles, tested exactly, then completed to a Jaccard similarity of 0.8.
 
-First the SimHash operator (5-word shingles) groups the documents, and every document is tested on
-whole shingle sets against the first one of its group: what passes is linked. Fingerprints alone
-cannot hold a similarity of 0.8 (such pairs differ by some 10 of 64 bits, unrelated ones by as few as 15), so a
-second pass finds the pairs that they missed: two sets that similar share one of the first n - ceil(0.8 n) + 1
+First the SimHash operator links documents by fingerprints of 5-word shingles, and every link that it
+found is tested on whole shingle sets. Fingerprints alone
+cannot hold a similarity of 0.8 (such pairs differ by some 10 of 64 bits, unrelated ones by as few as 15), so
+further passes find the pairs that they missed: two sets that similar share one of the first n - ceil(0.8 n) + 1
 shingles of each, whatever order all shingles are put in. The order puts shingles seen often in a
-sample last, which only keeps the meetings few. Only meetings of documents that are not yet linked
-count, so the copies in a group meet nobody and no group yields all its pairs. How often a pair
+sample last, which only keeps the meetings few. Along with the links, each set is tested against the
+HUBS sets that are the smallest ids of most of its shingles, which joins nearly all of a large group. Then all meetings of documents that are not yet
+linked count, so that no pair is lost and the copies in a group meet few others. How often a pair
 meets bounds its overlap from above; pairs that could reach 0.8 are tested on whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null and blank texts are
@@ -24,11 +25,11 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import bounded_batches, per_slice, slices
-from chatloom.llm.simhash import near_duplicates, one_of_each_id
+from chatloom.llm.simhash import linked_fingerprints, one_of_each_id
 from chatloom.operators.graph import connected_components
 from chatloom.session import staged
 
@@ -37,6 +38,8 @@ WIDTH = 5
 LEAST = 4, 5
 #: One of so many documents shows which shingles are common, and so many shingles are put last; neither changes results.
 SAMPLED, COMMON = 16, 1 << 17
+#: Sets that each set is tested against before all others.
+HUBS = 4
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
 
 
@@ -196,6 +199,20 @@ def similar_among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tested, "a long, b long")
 
 
+def _fit(a: str, b: str) -> Column:
+    """Sizes allow the similarity."""
+    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+
+
+def hub_pairs(firsts: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """(a, b): each set with those it meets most often among the smallest of its shingles; firsts: (id, n, first)."""
+    met = firsts.select(F.explode("first").alias("shingle"), "id", "n")
+    least = met.groupBy("shingle").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("most")).filter("hub.id < most").select("shingle", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
+    pairs = met.join(least, "shingle").filter((F.col("id") != F.col("b")) & _fit("n", "nb")).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("met"))
+    k = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
+    return pairs.withColumn("k", k).filter(F.col("k") <= hubs).select("a", "b")
+
+
 def meeting_pairs(firsts: DataFrame) -> DataFrame:
     """(a, b) of sets of different parts that could be similar; firsts: (id, n, first, part)."""
     met = firsts.select(F.explode("first").alias("shingle"), "id", "n", "part")
@@ -221,12 +238,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # A set stands for all texts that have it, under its smallest id.
     firsts = staged(every.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
     named = staged(every.select("doc_id", "key").join(firsts.select("key", "id"), "key").groupBy("doc_id", "id").agg(F.lit(1).alias("one")).select("doc_id", "id"))
-    # Groups of the SimHash operator: each set against the first document of its group.
-    groups = near_duplicates(rows, width=WIDTH).select("doc_id", "component_id").join(named, "doc_id")
-    first = groups.filter("doc_id = component_id").groupBy("component_id").agg(F.min("id").alias("b"))
-    likely = groups.join(first, "component_id").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.lit(1).alias("one")).select("a", "b")
+    # Links of the SimHash operator, under the ids of the sets, and hubs.
+    by_print = linked_fingerprints(rows, width=WIDTH)[2]
+    set_of = lambda x: named.select(F.col("doc_id").alias(x), F.col("id").alias(f"i{x}"))
+    likely = by_print.join(set_of("a"), "a").join(set_of("b"), "b").filter("ia <> ib").select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
+    likely = likely.unionByName(hub_pairs(firsts)).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
     links = staged(similar_among(texts, staged(likely)))
-    # Copies that share an id but not a set are linked by it.
     parts = staged(connected_components(links, "a", "b"))
     parted = firsts.join(parts, firsts["id"] == parts["node"], "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
     links = staged(links.unionByName(similar_among(texts, staged(meeting_pairs(parted)))))

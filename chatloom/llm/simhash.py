@@ -90,16 +90,25 @@ class _Runs:
         return zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True)
 
 
-def _join(lab: np.ndarray, r: np.ndarray, c: np.ndarray) -> None:
-    """Give the ends of each link the smallest label that they reach."""
-    while not ((lab[r] == (low := np.minimum(lab[r], lab[c]))) & (lab[c] == low)).all():
-        for end in (lab[r], lab[c], r, c):
-            np.minimum.at(lab, end, low)
-        while ((nxt := lab[lab]) != lab).any():
-            lab[:] = nxt
-
-
-def _link(own: _Runs, other: _Runs, radius: int, lab: np.ndarray, at: int) -> None:
+def _join(lab: np.ndarray, r: np.ndarray, c: np.ndarray, out: list) -> None:
+    """Merge labels over the links (r, c) and add to out those links that merged two: a forest of true links."""
+    while True:
+        a, b = lab[r], lab[c]
+        live = np.nonzero(a != b)[0]
+        if not len(live):
+            return
+        r, c, high, low = r[live], c[live], np.maximum(a[live], b[live]), np.minimum(a[live], b[live])
+        # Each label hooks onto one smaller label, so no circle can close.
+        hooked, first = np.unique(high, return_index=True)
+        out.append((r[first], c[first]))
+        to = np.arange(len(lab))
+        to[hooked] = low[first]
+        while ((nxt := to[to]) != to).any():
+            to = nxt
+        lab[:] = to[lab]
+
+
+def _link(own: _Runs, other: _Runs, radius: int, lab: np.ndarray, at: int, out: list) -> None:
     """Join labels of all pairs within the radius; `at` is where other starts in lab, own starts at 0."""
     rows, cols, held = [], [], 0
     for i, j in own.near(other, radius):
@@ -116,10 +125,10 @@ def _link(own: _Runs, other: _Runs, radius: int, lab: np.ndarray, at: int) -> No
                     cols.append(c + (b + at))
                     held += len(r)
                 if held > 1 << 20:
-                    _join(lab, np.concatenate(rows), np.concatenate(cols))
+                    _join(lab, np.concatenate(rows), np.concatenate(cols), out)
                     rows, cols, held = [], [], 0
     if held:
-        _join(lab, np.concatenate(rows), np.concatenate(cols))
+        _join(lab, np.concatenate(rows), np.concatenate(cols), out)
 
 
 def _compare(radius: int):
@@ -129,19 +138,19 @@ def _compare(radius: int):
         own = next(k for k, h in enumerate(home) if h)
         order = [own, *(k for k in range(len(tiles)) if k != own)]
         every = np.concatenate([tiles[k].ids for k in order])
-        lab, at = np.arange(len(every)), 0
+        lab, at, out = np.arange(len(every)), 0, []
         for k in order:
             if k != own or group.column("inner")[own].as_py():
-                _link(tiles[own], tiles[k], radius, lab, at)
+                _link(tiles[own], tiles[k], radius, lab, at, out)
             at += len(tiles[k].ids)
-        moved = np.nonzero(lab != np.arange(len(lab)))[0]
-        return pa.table({"a": every[moved], "b": every[lab[moved]]})
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": every[a], "b": every[b]})
 
     return run
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, visitors: int = VISITORS) -> DataFrame:
-    """(a, b): links between different fingerprints, as the smallest doc_id of each, reduced to forests.
+    """(a, b): pairs of fingerprints within the radius, as the smallest doc_id of each; of those that a task finds a spanning forest.
 
     prints: (fp, id), one row a fingerprint. A tile meets its own cell's later tiles
     and the tiles of the cells ahead of it, `visitors` tiles a task.
@@ -172,11 +181,16 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, visito
     return both.groupBy("h_hi", "h_lo", "h_chunk", "part").applyInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for every row of docs."""
+def linked_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp), distinct ones (fp, id) under their smallest doc_id, and links (a, b) between those."""
     prints = staged(fingerprints(docs, key, text, width))
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    links = staged(near_links(distinct.filter("id is not null"), radius))
+    return prints, distinct, staged(near_links(distinct.filter("id is not null"), radius))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row for every row of docs."""
+    prints, distinct, links = linked_fingerprints(docs, key, text, width, radius)
     parts = connected_components(links, "a", "b")
     named = distinct.join(parts, distinct["id"] == parts["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(staged(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
