@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 HARD_FAIL = (r"[Ss]ession\s*\d+", r"(?i)\b\w*\d+\.(?:png|jpe?g)\b", r"(?i)session\d+/")
 REVIEW = (r"(?i)\bIn this conversation,",)
 SECRET = r"(?i)(?:^|[^a-z0-9])(?:sk-|or-)[A-Za-z0-9_-]{16,}|Bearer\s+[A-Za-z0-9._-]+"
+REDACT = r"(?i)(?:sk-|or-)[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]+"
+NEGATIVE_ANSWER = r"(?i)\b(?:not\s+mentioned|not\s+specified|not\s+stated|unmentioned|not\s+clear|cannot\s+be\s+determined|no\s+mention|none|n/a|false|unknown)\b"
+NAMED_FILES = r"(?i)\b(?:session\s*\d+|meeting\s*\d+|photo_\d+|section_\d+|\d+\.(?:png|jpe?g))\b"
 CJK = r"[㐀-鿿]"
 
 
@@ -53,7 +56,27 @@ def matches(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    return F.regexp_replace(text, SECRET, "[redacted]")
+    """Keys and bearer tokens of eight characters or more, wherever they stand. SECRET is the stricter test of traces."""
+    return F.regexp_replace(text, REDACT, "[REDACTED]")
+
+
+def rejected(text: Column, patterns: tuple[str, ...] = (NEGATIVE_ANSWER, NAMED_FILES)) -> Column:
+    """Any of the patterns is found; a null text is rejected."""
+    return F.coalesce(reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns)), F.lit(True))
+
+
+def synonyms(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Ordered replacements of whole words, whatever their case."""
+    return substituted(text, [(rf"(?i)\b(?:{word})\b", other) for word, other in rules])
+
+
+def null_if_empty(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def first_occurrences(values: Column) -> Column:
+    """A list without repeats, each value where it stood first."""
+    return F.array_distinct(values)
 
 
 def is_ascii_safe(text: Column) -> Column:

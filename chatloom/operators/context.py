@@ -77,3 +77,16 @@ def resolve_media(questions: DataFrame, media: DataFrame) -> DataFrame:
     found = asked.join(best, ["channel_id", "_file"])
     own, theirs = (F.try_element_at("_by", F.col(c)) for c in ("_named", "_asked"))
     return found.select("question_id", F.coalesce(own, theirs, "_any").alias("media_id"), F.when(own.isNotNull(), 1).when(theirs.isNotNull(), 2).otherwise(3).alias("rule"))
+
+
+def sessions_with_image(questions: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions with has_image: their gold session (keys) holds any media."""
+    held = media.select(*keys).distinct().withColumn("_held", F.lit(True))
+    return questions.join(held, keys, "left").withColumn("has_image", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def media_documents(media: DataFrame, messages: DataFrame, senders: DataFrame) -> DataFrame:
+    """(media_id, text): the sender's name and the words of the message that holds the media."""
+    told = media.join(messages.select("message_id", "sender_id", F.col("text").alias("_text")), F.col("parent_message_id") == F.col("message_id"), "left")
+    named = told.join(senders.select("sender_id", "display_name"), "sender_id", "left")
+    return named.select("media_id", F.concat(F.coalesce("display_name", F.lit("Unknown")), F.lit(": "), F.coalesce("_text", F.lit(""))).alias("text"))

@@ -8,7 +8,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.operators.graph import connected_components
 from chatloom.operators.lexical import bm25_scores, top_k
+from chatloom.operators.windows import global_rank
 
 
 def hit_rates(top1: DataFrame, gold: DataFrame, query: str, key: str, stratum: str) -> DataFrame:
@@ -138,17 +140,19 @@ def assign_splits(components: DataFrame, total: int, quotas: dict[str, int], sal
     components: (component, stratum, n). They are few by nature (checked); the search visits
     them in salted order, with the rows left and the states already failed as bounds.
     """
-    rows = components.limit(most * len(quotas) + 1).collect()
+    strata = sorted(quotas)
+    known = F.when(F.col("stratum").isin(strata), F.col("stratum"))  # all strata without a quota count as one
+    found = components.groupBy("component").agg(F.lit(1).alias("_one")).count()
+    if found > most:
+        raise ValueError(f"{found} components, more than {most}")
     size: dict[str, Counter] = {}
-    for r in rows:
+    for r in components.groupBy("component", known.alias("stratum")).agg(F.sum("n").alias("n")).collect():  # most * (quotas + 1) rows
         size.setdefault(r["component"], Counter())[r["stratum"]] += r["n"]
-    if len(size) > most:
-        raise ValueError(f"more than {most} components")
     order = sorted(size, key=lambda c: (hashlib.sha256(f"{salt}:{c}".encode()).hexdigest(), c))
     left = [0] * (len(order) + 1)
     for k in range(len(order) - 1, -1, -1):
         left[k] = left[k + 1] + sum(size[order[k]].values())
-    strata, failed = sorted(quotas), set()
+    failed = set()
     # A stack of (position, dev so far, chosen); including a component is tried first.
     stack = [(0, (0,) * len(strata), 0, ())]
     while stack:
@@ -181,3 +185,42 @@ def cluster_edges(members: DataFrame, cluster: str, group: str, most: int = 10)
     few = members.join(sizes, cluster, "left_semi").select(cluster, group).distinct()
     left, right = (few.select(cluster, F.col(group).alias(name)) for name in ("left", "right"))
     return left.join(right, cluster).filter("left < right").select("left", "right").distinct()
+
+
+def group_components(edges: DataFrame, left: str, right: str, prefix: str = "comp") -> DataFrame:
+    """(node, component, component_id): components numbered by their first member, as prefix_000_first."""
+    found = connected_components(edges, left, right)
+    firsts = global_rank(found.groupBy("component").agg(F.lit(1).alias("_one")).select("component"), ["component"], "number")
+    named = firsts.select("component", F.format_string(f"{prefix}_%03d_%s", F.col("number"), F.col("component").cast("string")).alias("component_id"))
+    return found.join(named, "component").select("node", "component", "component_id")
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(n_shared, disjoint) of two sets of keys."""
+    both = left.select(key).distinct().join(right.select(key), key, "left_semi")
+    return both.agg(F.count("*").alias("n_shared"), (F.count("*") == 0).alias("disjoint"))
+
+
+def saturation(hits: DataFrame, hit: str, dev: Column, ceiling: float = 0.7) -> DataFrame:
+    """(n, hits, rate, saturated) over the dev rows alone."""
+    rows = hits.filter(dev)
+    rate = F.round(F.avg(F.col(hit).cast("double")), 6)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(hit).cast("boolean")).alias("hits"), rate.alias("rate"), F.coalesce(rate >= ceiling, F.lit(False)).alias("saturated"))
+
+
+def released_leaks(before: DataFrame, after: DataFrame, query: str, most: float = 0.15) -> DataFrame:
+    """(n, leaked, rewritten, released_leaks, rate, passes): rows that leak are rewritten and scored again; the gate fails over `most`.
+
+    before: (query, leak) of all rows; after: (query, leak) of those rewritten.
+    """
+    both = before.select(query, F.col("leak").alias("_a")).join(after.select(query, F.col("leak").alias("_b")), query, "left")
+    still = F.col("_a") & F.coalesce("_b", F.lit(True))
+    rate = F.round(F.avg(still.cast("double")), 6)
+    return both.agg(F.count("*").alias("n"), F.count_if("_a").alias("leaked"), F.count_if(F.col("_a") & F.col("_b").isNotNull()).alias("rewritten"), F.count_if(still).alias("released_leaks"), rate.alias("rate"), F.coalesce(rate <= most, F.lit(True)).alias("passes"))
+
+
+def probe_summary(probes: DataFrame, endpoint: str, latency: str, rejected: str) -> DataFrame:
+    """(endpoint, n, p50, rejection_rate, chosen): the endpoint with the smallest latency seen is chosen, ties by name."""
+    rows = probes.groupBy(endpoint).agg(F.count("*").alias("n"), percentile_nearest(latency, 0.5).alias("p50"), F.round(F.avg(F.col(rejected).cast("double")), 6).alias("rejection_rate"), F.min(latency).alias("_least"))
+    best = probes.agg(F.min_by(endpoint, F.struct(F.col(latency), F.col(endpoint))).alias("_best"))
+    return rows.crossJoin(F.broadcast(best)).select(endpoint, "n", "p50", "rejection_rate", (F.col(endpoint) == F.col("_best")).alias("chosen"))  # one row

@@ -88,3 +88,17 @@ def trace_violations(trace: DataFrame) -> DataFrame:
 def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose reference leads nowhere."""
     return rows.filter(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
+#: What is wrong with a visual artifact, in the order it is looked at.
+ARTIFACT_CODES = ("MEDIA_INPUT_SET_MISMATCH", "VISUAL_MODEL_MISMATCH", "VISUAL_PREPROCESSING_MISMATCH", "VISUAL_DEVICE_MISMATCH", "MATRIX_SHA256_MISMATCH", "MEDIA_COUNT_MISMATCH")
+
+
+def artifact_error(matches_: list[Column]) -> Column:
+    """The first code whose test does not hold; null for a sound artifact. matches_: a test for each code."""
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in zip(matches_, ARTIFACT_CODES, strict=True)), F.lit(None).cast("string"))
+
+
+def returning(rows: DataFrame) -> DataFrame:
+    """Gold rows that expect a result."""
+    return rows.filter("expected_action = 'return_result'")

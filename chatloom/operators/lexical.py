@@ -70,3 +70,8 @@ def token_overlap(queries: DataFrame, docs: DataFrame, query: str, answer: str,
     found = words.join(wanted, "term").groupBy(query, key).agg(F.sum("in_a").alias("in_a"), F.sum("in_q").alias("in_q"), F.max("n").alias("n"))
     rated = found.withColumn("coverage", F.round(F.col("in_a") / F.col("n"), 6)).withColumn("score", (6 * F.col("in_a") + 2 * F.col("in_q")).cast("long"))
     return rated.filter(F.col("coverage") >= coverage).select(query, key, "coverage", "score")
+
+
+def keyword_score(text: Column, keywords: list[str]) -> Column:
+    """How many terms of a text are among the keywords, repeats counted."""
+    return F.size(F.filter(terms(text), lambda x: x.isin(*keywords))).cast("long")

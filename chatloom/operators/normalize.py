@@ -76,3 +76,14 @@ def mentions(messages_: DataFrame, names: DataFrame) -> DataFrame:
 def summary(messages_: DataFrame, media_: DataFrame, images: DataFrame) -> dict[str, int]:
     m = messages_.agg(F.count("*").alias("messages"), F.count_distinct("channel_id").alias("channels"), F.count_distinct("sender_id").alias("senders"), F.count_distinct("channel_id", "session_index").alias("sessions"), F.count_if("temporal_order_conflict").alias("flagged"), F.count_if(F.col("text").rlike(T.CJK)).alias("cjk")).first()
     return m.asDict() | {"media": media_.count(), "images": images.count()}
+
+
+def mention_targets(mentions_: DataFrame, messages_: DataFrame) -> DataFrame:
+    """(message_id, sender_id, target_message_id): every message, of any channel, by the sender that a mention names."""
+    said = messages_.filter("sender_id is not null").select("sender_id", F.col("message_id").alias("target_message_id"))
+    return mentions_.join(said, "sender_id").select("message_id", "sender_id", "target_message_id")
+
+
+def by_folded_name(senders: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds the 0-based place in the order of names whatever their case, then of names, then of keys."""
+    return global_rank(senders.withColumn("_folded", F.lower(name)), ["_folded", name, key], "place").drop("_folded")

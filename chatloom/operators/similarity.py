@@ -109,3 +109,11 @@ def perceptual_hash(grey: np.ndarray) -> int:
     low = (basis @ grey.astype(float) @ basis.T)[:8, :8].ravel()
     bits = low > np.median(low[1:])
     return int(np.packbits(bits).view(">u8")[0])
+
+
+def edge_counts(cosine_edges: DataFrame, hamming_edges: DataFrame) -> DataFrame:
+    """(cosine, phash, both, edges): how many pairs each measure found."""
+    flag = lambda df, name: df.select("left_id", "right_id", F.lit(True).alias(name))
+    edges = flag(cosine_edges, "_c").join(flag(hamming_edges, "_h"), ["left_id", "right_id"], "full")
+    c, h = F.col("_c").isNotNull(), F.col("_h").isNotNull()
+    return edges.agg(F.count_if(c).alias("cosine"), F.count_if(h).alias("phash"), F.count_if(c & h).alias("both"), F.count("*").alias("edges"))

@@ -256,7 +256,7 @@ def control_sample(spark, sf_dir):
     return windows.systematic_sample(table(spark, sf_dir, "labels"), ["doc_id", "quality", "toxic"])
 
 
-@query("select doc_id, 'q_' || quality || '_' || lpad(k::varchar, 4, '0') query_id from (select *, row_number() over (partition by quality order by doc_id) k from labels) where k < 10000")
+@query("select doc_id, 'q_' || quality || '_' || lpad(k::varchar, greatest(4, length(k::varchar))::int, '0') query_id from (select *, row_number() over (partition by quality order by doc_id) k from labels)")
 def stratum_sequence(spark, sf_dir):
     rows = windows.sequence_id(table(spark, sf_dir, "labels"), "quality", ["doc_id"])
     return rows.select("doc_id", "query_id")
@@ -701,9 +701,11 @@ def cjk_by_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("text").rlike(T.CJK)).alias("cjk"), F.count("*").alias("n"))
 
 
-@query("select doc_id, sha256(regexp_replace(text, '" + T.SECRET + "', '[redacted]', 'g')) digest, regexp_matches(text, '" + T.SECRET + "') has_secret from documents")
+@query(r"""with x as (select doc_id, case when doc_id % 5 = 0 then 'key: sk-abcdefghij then ' || coalesce(text, '') || ' Bearer a.b_c-9' when doc_id % 5 = 1 then 'xOR-12345678 sk-1234567' else text end t from documents)
+select doc_id, sha256(regexp_replace(t, '(sk-|or-)[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]+', '[REDACTED]', 'gi')) digest, regexp_matches(t, '(sk-|or-)[A-Za-z0-9_-]{8,}|bearer\s+[A-Za-z0-9._-]+', 'i') has_secret from x""")
 def secrets_redacted(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("digest"), F.col("text").rlike(T.SECRET).alias("has_secret"))
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("key: sk-abcdefghij then "), F.coalesce("text", F.lit("")), F.lit(" Bearer a.b_c-9"))).when(F.col("doc_id") % 5 == 1, F.lit("xOR-12345678 sk-1234567")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redacted(t), 256).alias("digest"), t.rlike(T.REDACT).alias("has_secret"))
 
 
 @query("select doc_id, sha256(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) digest from documents")

@@ -188,3 +188,26 @@ def test_perceptual_hash_of_shifted_brightness():
 def test_kappa(spark):
     assert evaluate.kappa(spark.createDataFrame([(1, 1), (0, 0), (1, 1), (0, 0)], "a int, b int"), "a", "b") == 1.0
     assert abs(evaluate.kappa(spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "a int, b int"), "a", "b")) < 1e-12
+
+
+def test_splits_keep_every_component_whatever_its_strata(spark):
+    rows = [(f"c{k:04}", f"s{j}", 1) for k in range(1500) for j in range(4)]
+    got = evaluate.assign_splits(spark.createDataFrame(rows, "component string, stratum string, n int"), 3000, {"s0": 750, "s1": 750}, "salt")
+    assert len(got) == 1500 and sum(v == "dev" for v in got.values()) == 750
+
+
+def test_owner_grants_of_more_viewers_than_a_block(spark):
+    viewers = spark.range(30).select(F.col("id").alias("caller_id"))
+    channels = spark.range(5).select(F.col("id").alias("channel_id"))
+    held = channels.filter("channel_id = 2").join(viewers.filter("caller_id < 10").select("caller_id"), F.lit(True))
+    assert scope.missing_owner_grants(viewers, channels, held, block=7).count() == 150 - 10
+
+
+def test_redaction_keeps_what_stands_before_a_key(spark):
+    rows = spark.createDataFrame([("key: sk-abcdefghij.",), ("sk-short",), ("Bearer abc.def tail",)], "t string")
+    assert [r[0] for r in rows.select(T.redacted(F.col("t"))).collect()] == ["key: [REDACTED].", "sk-short", "[REDACTED] tail"]
+
+
+def test_sequence_ids_stay_distinct_beyond_four_digits(spark):
+    rows = spark.range(12_000).select("id", F.lit("a").alias("stratum"))
+    assert windows.sequence_id(rows, "stratum", ["id"]).select("query_id").distinct().count() == 12_000
