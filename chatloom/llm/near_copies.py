@@ -7,8 +7,9 @@ further passes find the pairs that they missed: two sets that similar share one
 shingles of each, whatever order all shingles are put in. The order puts shingles seen often in a
 sample last, which only keeps the meetings few. Along with the links, each set is tested against the
 HUBS sets that are the smallest ids of most of its shingles, which joins nearly all of a large group. Then all meetings of documents that are not yet
-linked count, so that no pair is lost and the copies in a group meet few others. How often a pair
-meets bounds its overlap from above; pairs that could reach 0.8 are tested on whole sets.
+linked count, so that no pair is lost and the copies in a group meet few others. How often two first
+shingles agree bounds the overlap from above, and only pairs that could reach 0.8 leave the place where they meet
+first; they are tested on whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null and blank texts are
 copies of each other; rows without a doc_id stay, and link no others; a doc_id with several texts links what
@@ -109,76 +110,64 @@ def _first(sent):
     return run
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, id, n, part) sorted by shingle -> the members of each shingle with several parts, by their smallest."""
-    open_: list[np.ndarray] = []
-
-    def closed(rows: np.ndarray) -> pa.RecordBatch:
-        edge = np.nonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))[0] if rows.shape[1] else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, rows.shape[1]))
-        many = np.minimum.reduceat(rows[3], edge) < np.maximum.reduceat(rows[3], edge) if len(edge) else np.zeros(0, bool)
-        inside = np.repeat(many, size)
-        at = np.concatenate(([0], np.cumsum(size[many])))
-        low = np.minimum.reduceat(rows[1, inside], at[:-1]) if len(at) > 1 else rows[1, inside]
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows[k, inside])) for k in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(low), *lists], names=["low", "ids", "ns", "parts"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(4)])
-        last = int(np.searchsorted(rows[0], rows[0, -1]))
-        if last or open_ and open_[-1][0, -1] != rows[0, 0]:
-            # The open shingle's rows end before `last`, or before this batch.
-            yield closed(np.concatenate([*open_, rows[:, :last]], axis=1))
-            open_ = []
-        open_.append(rows[:, last:])
-    if open_:
-        yield closed(np.concatenate(open_, axis=1))
-
-
-#: Pairs held before they are counted.
-HELD = 1 << 20
+def _could_reach(na, nb, met):
+    """Beyond the first shingles of the set whose first ones end sooner, ceil(up / down n) - 1 are left to share."""
+    up, down = LEAST
+    most, fits = np.maximum(na, nb), down * np.minimum(na, nb) >= up * np.maximum(na, nb)
+    return fits & ((met - (-up * most // down) - 1) * (up + down) >= (na + nb) * up)
+
+
+def _bucket(shingle: int, ids: np.ndarray, ns: np.ndarray, part: np.ndarray, firsts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of different parts that could be similar, of those that meet here first. No other pair leaves the bucket."""
+    _, which, size = np.unique(part, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return []
+    # Members of the largest part come last and only meet those before them.
+    order = np.lexsort((ids, which == np.argmax(size)))
+    ids, ns, part, firsts = ids[order], ns[order], part[order], [firsts[k] for k in order]
+    length = np.fromiter(map(len, firsts), np.int64, len(firsts))
+    owner = np.repeat(np.arange(len(ids)), length)
+    _, col = np.unique(np.concatenate(firsts), return_inverse=True)
+    by_col = np.argsort(col, kind="stable")
+    members, begin = owner[by_col], np.concatenate(([0], np.cumsum(np.bincount(col))))
+    own, out = np.concatenate(([0], np.cumsum(length))), []
+    for i in range(len(ids) - int(size.max())):
+        mine = col[own[i] : own[i + 1]]
+        met = np.bincount(np.concatenate([members[begin[c] : begin[c + 1]] for c in mine]), minlength=len(ids))[i + 1 :]
+        for j in (i + 1 + np.nonzero((part[i + 1 :] != part[i]) & _could_reach(ns[i], ns[i + 1 :], met))[0]).tolist():
+            if np.intersect1d(firsts[i], firsts[j]).min() == shingle:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, met) of members of different parts whose sizes allow the similarity; counts of a pair may come in pieces."""
-    parts: list[np.ndarray] = []
-    held = 0
+    """Rows (shingle, id, n, part, first) sorted by shingle -> (a, b)."""
+    held: list[np.ndarray] = []  # (shingle, id, n, part) of a shingle whose rows may go on
+    lists: list[np.ndarray] = []
 
-    def counted() -> np.ndarray:
-        x = np.concatenate(parts, axis=1)
-        x = x[:, np.lexsort((x[1], x[0]))]
-        edge = np.nonzero(np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(0))))[0]
-        return np.concatenate([x[:4, edge], np.add.reduceat(x[4], edge)[None]])
+    def closed(rows: np.ndarray, firsts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        edge = np.append(np.nonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))[0], rows.shape[1]) if rows.shape[1] else [0]
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            if y - x > 1:
+                yield from _bucket(int(rows[0, x]), *rows[1:, x:y], firsts[x:y])
 
-    def out(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["a", "b", "na", "nb", "met"])
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for k in range(batch.num_rows):
-            ids, ns, part = (np.asarray(batch.column(c)[k].values, np.int64) for c in (1, 2, 3))
-            # Members of the largest part come last and only meet those before them.
-            _, which, size = np.unique(part, return_inverse=True, return_counts=True)
-            order = np.lexsort((ids, which == np.argmax(size)))
-            ids, ns, part = ids[order], ns[order], part[order]
-            for i in range(len(ids) - int(size.max())):
-                near = LEAST[1] * np.minimum(ns[i], ns[i + 1 :]) >= LEAST[0] * np.maximum(ns[i], ns[i + 1 :])
-                fit = i + 1 + np.nonzero(near & (part[i + 1 :] != part[i]))[0]
-                if not len(fit):
-                    continue
-                first = ids[i] < ids[fit]
-                pick = lambda x: (np.where(first, x[i], x[fit]), np.where(first, x[fit], x[i]))  # noqa: B023, E731
-                parts.append(np.stack([*pick(ids), *pick(ns), np.full(len(fit), 1)]))
-                held += len(fit)
-                if held > HELD:
-                    parts = [counted()]
-                    held = parts[0].shape[1]
-                    if held > HELD // 2:
-                        yield out(parts[0])
-                        parts, held = [], 0
-    if parts:
-        yield out(counted())
+        if not batch.num_rows:
+            continue
+        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(4)])
+        at, flat = np.asarray(batch.column(4).offsets, np.int64), np.asarray(batch.column(4).values, np.int64)
+        own = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        if last or held and held[-1][0, -1] != rows[0, 0]:
+            yield out(list(closed(np.concatenate([*held, rows[:, :last]], axis=1), [*lists, *own[:last]])))
+            held, lists = [], []
+        held.append(rows[:, last:])
+        lists += [x.copy() for x in own[last:]]
+    if held:
+        yield out(list(closed(np.concatenate(held, axis=1), lists)))
 
 
 _TEST = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -219,13 +208,8 @@ def meeting_pairs(firsts: DataFrame) -> DataFrame:
     # Most shingles are of one part, among them those of large groups of copies: they go before rows of a shingle come together.
     mixed = met.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("shingle")
     met = met.join(mixed, "shingle", "left_semi")
-    met = met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings, "low long, ids array<long>, ns array<long>, parts array<long>")
-    pairs = met.repartition("low").sortWithinPartitions("low").mapInArrow(_pairs, "a long, b long, na long, nb long, met long")
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
-    up, down = LEAST
-    # Beyond the first shingles of the set whose first ones end sooner, ceil(up / down n) - 1 are left to share.
-    left = F.ceil(F.greatest("na", "nb") * up / F.lit(down)) - 1
-    return pairs.filter((F.col("met") + left) * (up + down) >= (F.col("na") + F.col("nb")) * up).select("a", "b")
+    met = met.join(firsts.select("id", "first"), "id").select("shingle", "id", "n", "part", "first")
+    return met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
