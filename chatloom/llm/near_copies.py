@@ -7,9 +7,10 @@ further passes find the pairs that they missed: two sets that similar share one
 shingles of each, whatever order all shingles are put in. The order puts shingles seen often in a
 sample last, which only keeps the meetings few. Along with the links, each set is tested against the
 HUBS sets that are the smallest ids of most of its shingles, which joins nearly all of a large group. Then all meetings of documents that are not yet
-linked count, so that no pair is lost and the copies in a group meet few others. How often two first
-shingles agree bounds the overlap from above, and only pairs that could reach 0.8 leave the place where they meet
-first; they are tested on whole sets.
+linked count, so that no pair is lost and the copies in a group meet few others. Where two sets meet, their sizes
+and the places of the shingle in both bound the overlap from above, and only pairs that could reach 0.8 leave
+it. A sketch of SKETCH parity bits a set bounds it once more (each differing bit is an element of one set only), for
+these pairs and for links and hubs; what is left is tested on whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null and blank texts are
 copies of each other; rows without a doc_id stay, and link no others; a doc_id with several texts links what
@@ -41,6 +42,10 @@ LEAST = 4, 5
 SAMPLED, COMMON = 16, 1 << 17
 #: Sets that each set is tested against before all others.
 HUBS = 4
+#: Parity bits of a set; its bound serves sets of up to some SKETCH * 2 shingles, larger ones pass untested to the exact test.
+SKETCH = 2048
+#: Meetings of at most so many sets are compared together, by offsets.
+SMALL = 64
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
 
 
@@ -99,75 +104,112 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order := np.argsort(shingle)], n[order]
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64()))])
+def sketch(own: np.ndarray) -> bytes:
+    """Bit k says whether an odd number of elements leave the remainder k."""
+    return np.packbits(np.bincount(own & (SKETCH - 1), minlength=SKETCH) & 1, bitorder="little").tobytes()
+
+
+_FIRST = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def _first(sent):
     def run(rows: pa.RecordBatch, texts: list[str]) -> dict:
         sets = shingle_sets(texts)
-        return {"doc_id": rows.column(0), "key": [_key(x) for x in sets], "n": [len(x) for x in sets], "first": [first_shingles(x, *sent.value) for x in sets]}
+        return {
+            "doc_id": rows.column(0),
+            "key": [_key(x) for x in sets],
+            "n": [len(x) for x in sets],
+            "first": [first_shingles(x, *sent.value) for x in sets],
+            "bits": [sketch(x) for x in sets],
+        }
 
     return run
 
 
-def _could_reach(na, nb, met):
-    """Beyond the first shingles of the set whose first ones end sooner, ceil(up / down n) - 1 are left to share."""
+def _could_reach(n: np.ndarray, part: np.ndarray, pos: np.ndarray, i, j) -> np.ndarray:
+    """Sets of different parts and fitting sizes that could be similar if what they meet at is the first that they share."""
     up, down = LEAST
-    most, fits = np.maximum(na, nb), down * np.minimum(na, nb) >= up * np.maximum(na, nb)
-    return fits & ((met - (-up * most // down) - 1) * (up + down) >= (na + nb) * up)
-
-
-def _bucket(shingle: int, ids: np.ndarray, ns: np.ndarray, part: np.ndarray, firsts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of different parts that could be similar, of those that meet here first. No other pair leaves the bucket."""
-    _, which, size = np.unique(part, return_inverse=True, return_counts=True)
-    if len(size) < 2:
-        return []
-    # Members of the largest part come last and only meet those before them.
-    order = np.lexsort((ids, which == np.argmax(size)))
-    ids, ns, part, firsts = ids[order], ns[order], part[order], [firsts[k] for k in order]
-    length = np.fromiter(map(len, firsts), np.int64, len(firsts))
-    owner = np.repeat(np.arange(len(ids)), length)
-    _, col = np.unique(np.concatenate(firsts), return_inverse=True)
-    by_col = np.argsort(col, kind="stable")
-    members, begin = owner[by_col], np.concatenate(([0], np.cumsum(np.bincount(col))))
-    own, out = np.concatenate(([0], np.cumsum(length))), []
-    for i in range(len(ids) - int(size.max())):
-        mine = col[own[i] : own[i + 1]]
-        met = np.bincount(np.concatenate([members[begin[c] : begin[c + 1]] for c in mine]), minlength=len(ids))[i + 1 :]
-        for j in (i + 1 + np.nonzero((part[i + 1 :] != part[i]) & _could_reach(ns[i], ns[i + 1 :], met))[0]).tolist():
-            if np.intersect1d(firsts[i], firsts[j]).min() == shingle:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return out
+    left = np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (part[i] != part[j]) & (down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])) & ((up + down) * left >= up * (n[i] + n[j]))
+
+
+def _meetings(shingle: np.ndarray, n: np.ndarray, part: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs that could be similar, of rows sorted by shingle and n. No other pair leaves the place where they meet."""
+    start = np.nonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))[0]
+    stop = np.append(start[1:], len(shingle))
+    size = stop - start
+    end, at, d = np.repeat(stop, size), np.nonzero(np.repeat(size <= SMALL, size))[0], 1
+    while len(at := at[at + d < end[at]]):
+        # Sizes only grow with the offset: a row that one no longer fits is done.
+        at = at[LEAST[1] * n[at] >= LEAST[0] * n[at + d]]
+        hit = at[_could_reach(n, part, pos, at, at + d)]
+        yield hit, hit + d
+        d += 1
+    for x, y in zip(start[size > SMALL].tolist(), stop[size > SMALL].tolist(), strict=True):
+        _, which, members = np.unique(part[x:y], return_inverse=True, return_counts=True)
+        # Members of the largest part only meet the others, which meet each other once.
+        largest = which == np.argmax(members)
+        own = n[x:y]
+        for i in np.nonzero(~largest)[0].tolist():
+            low, high = (np.searchsorted(own, -(-LEAST[0] * own[i] // LEAST[1])), np.searchsorted(own, LEAST[1] * own[i] // LEAST[0], side="right"))
+            j = np.arange(low, high)
+            j = x + j[largest[low:high] | (j > i)]
+            j = j[_could_reach(n, part, pos, x + i, j)]
+            yield np.full(len(j), x + i), j
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, id, n, part, first) sorted by shingle -> (a, b)."""
-    held: list[np.ndarray] = []  # (shingle, id, n, part) of a shingle whose rows may go on
-    lists: list[np.ndarray] = []
-
-    def closed(rows: np.ndarray, firsts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        edge = np.append(np.nonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))[0], rows.shape[1]) if rows.shape[1] else [0]
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            if y - x > 1:
-                yield from _bucket(int(rows[0, x]), *rows[1:, x:y], firsts[x:y])
-
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    """Rows (shingle, id, n, part, pos) sorted by shingle and n -> (a, b)."""
+    held: list[np.ndarray] = []  # rows of a shingle that may go on
+
+    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, ids, n, part, pos = rows
+        found, waiting = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for i, j in _meetings(shingle, n, part, pos):
+            if len(i):
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+                waiting += len(i)
+            if waiting > 1 << 18:
+                yield out()
+                found, waiting = [], 0
+        if found:
+            yield out()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(4)])
-        at, flat = np.asarray(batch.column(4).offsets, np.int64), np.asarray(batch.column(4).values, np.int64)
-        own = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        rows = np.stack([np.asarray(batch.column(k), np.int64) for k in range(5)])
         last = int(np.searchsorted(rows[0], rows[0, -1]))
         if last or held and held[-1][0, -1] != rows[0, 0]:
-            yield out(list(closed(np.concatenate([*held, rows[:, :last]], axis=1), [*lists, *own[:last]])))
-            held, lists = [], []
+            yield from closed(np.concatenate([*held, rows[:, :last]], axis=1))
+            held = []
         held.append(rows[:, last:])
-        lists += [x.copy() for x in own[last:]]
     if held:
-        yield out(list(closed(np.concatenate(held, axis=1), lists)))
+        yield from closed(np.concatenate(held, axis=1))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, sa, sb) -> those (a, b) whose sketches and sizes allow the similarity."""
+    up, down = LEAST
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+        apart = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+        # At most (n - apart) / 2 are shared.
+        yield batch.select([0, 1]).filter(pa.array((up + down) * (n - apart) >= 2 * up * n))
+
+
+def could_be_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those that sizes or sketches rule out; sets: (id, n, bits)."""
+    one, two = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").filter(_fit("na", "nb")).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long")
 
 
 _TEST = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -204,12 +246,11 @@ def hub_pairs(firsts: DataFrame, hubs: int = HUBS) -> DataFrame:
 
 def meeting_pairs(firsts: DataFrame) -> DataFrame:
     """(a, b) of sets of different parts that could be similar; firsts: (id, n, first, part)."""
-    met = firsts.select(F.explode("first").alias("shingle"), "id", "n", "part")
+    met = firsts.select(F.posexplode("first").alias("pos", "shingle"), "id", "n", "part")
     # Most shingles are of one part, among them those of large groups of copies: they go before rows of a shingle come together.
     mixed = met.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("shingle")
-    met = met.join(mixed, "shingle", "left_semi")
-    met = met.join(firsts.select("id", "first"), "id").select("shingle", "id", "n", "part", "first")
-    return met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+    met = met.join(mixed, "shingle", "left_semi").select("shingle", "id", "n", "part", F.col("pos").cast("long").alias("pos"))
+    return met.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(_pairs, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -218,19 +259,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     texts = rows.withColumnRenamed("doc_id", "id")
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows))
-    every = staged(rows.mapInArrow(per_slice(_first(sent), _FIRST), "doc_id long, key long, n long, first array<long>"))
+    every = staged(rows.mapInArrow(per_slice(_first(sent), _FIRST), "doc_id long, key long, n long, first array<long>, bits binary"))
     # A set stands for all texts that have it, under its smallest id.
-    firsts = staged(every.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
+    firsts = staged(every.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits")))
     named = staged(every.select("doc_id", "key").join(firsts.select("key", "id"), "key").groupBy("doc_id", "id").agg(F.lit(1).alias("one")).select("doc_id", "id"))
     # Links of the SimHash operator, under the ids of the sets, and hubs.
     by_print = linked_fingerprints(rows, width=WIDTH)[2]
     set_of = lambda x: named.select(F.col("doc_id").alias(x), F.col("id").alias(f"i{x}"))
     likely = by_print.join(set_of("a"), "a").join(set_of("b"), "b").filter("ia <> ib").select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
     likely = likely.unionByName(hub_pairs(firsts)).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-    links = staged(similar_among(texts, staged(likely)))
+    links = staged(similar_among(texts, staged(could_be_similar(likely, firsts))))
     parts = staged(connected_components(links, "a", "b"))
     parted = firsts.join(parts, firsts["id"] == parts["node"], "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
-    links = staged(links.unionByName(similar_among(texts, staged(meeting_pairs(parted)))))
+    links = staged(links.unionByName(similar_among(texts, staged(could_be_similar(meeting_pairs(parted), firsts)))))
     parts = connected_components(links, "a", "b")
     found = named.join(parts, named["id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

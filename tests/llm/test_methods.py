@@ -580,3 +580,33 @@ def test_a_group_of_near_copies_meets_nobody(spark):
     finally:
         N.meeting_pairs = real
     assert seen["pairs"].count() < 4 * 400  # of 79,800
+
+
+def test_meetings_equal_a_comparison_of_all():
+    r = np.random.default_rng(5)
+    k = 900
+    rows = np.stack([r.choice([1, 2, 3, 4], k, p=[0.6, 0.38, 0.01, 0.01]), r.integers(5, 60, k), r.integers(0, 4, k), np.zeros(k, np.int64)])
+    rows[3] = r.integers(0, 1 + rows[1] // 5)
+    shingle, n, part, pos = rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    want = {
+        (i, j)
+        for i in range(k)
+        for j in range(i + 1, k)
+        if shingle[i] == shingle[j] and part[i] != part[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
+    }
+    got = [(min(x), max(x)) for i, j in N._meetings(*rows) for x in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sketches_never_rule_out_a_similar_pair(spark):
+    r = np.random.default_rng(6)
+    sets, pairs = [], []
+    for k in range(0, 400, 2):
+        own = np.unique(r.integers(-(1 << 62), 1 << 62, int(r.integers(1, 6000))))
+        other = np.unique(np.concatenate([own[int(len(own) * r.uniform(0, 0.3)) :], r.integers(-(1 << 62), 1 << 62, int(len(own) * r.uniform(0, 0.1)))]))
+        sets += [own, other]
+        pairs += [(k, k + 1), (k, (k + 3) % 400)]
+    rows = spark.createDataFrame([(k, len(x), N.sketch(x)) for k, x in enumerate(sets)], "id long, n long, bits binary")
+    kept = {tuple(x) for x in N.could_be_similar(spark.createDataFrame(pairs, "a long, b long"), rows).collect()}
+    true = {(a, b) for a, b in pairs if len(sets[a]) and len(sets[b]) and N.similar(sets[a], sets[b])}
+    assert len(true) > 50 and true <= kept and len(kept) < len(pairs)
