@@ -16,7 +16,7 @@ ROWS = [
     (7, " \n\t ", "fr", "src1"), (8, "12 34 !!", "fr", "src1"), (9, "Licensed under the Apache License, Version 2.0.", "en", "src1"), (10, f"{TEXT} {ITEM}", "en", "src1"), (11, "\U0001f600 \U00020000 ä́", "de", "src2"), (32, "Released under the MIT License.", "en", "src1"),
 ]
 EXTRA = ("y", "grp", "h", "word", "votes", "unit", "n", "fp", "_words", "n_words", "path", "rows", "score", "start", "component_id")
-ONE_PER_ROW = [q for q in QUERIES if q.split("_")[0] in ("op3", "op4", "op5", "op6", "op7", "op8", "op10")]
+ONE_PER_ROW = [q for q in QUERIES if q.split("_")[0] in ("op3", "op4", "op5", "op6", "op7", "op8", "op10", "op12", "op13")]
 
 
 def _write(spark, folder, rows):
