@@ -8,9 +8,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions.text import substituted
+from chatloom.operators import inverted
 from chatloom.operators.graph import connected_components
 from chatloom.operators.lexical import bm25_scores, top_k
 from chatloom.operators.windows import global_rank
+from chatloom.session import staged
 
 
 def hit_rates(top1: DataFrame, gold: DataFrame, query: str, key: str, stratum: str) -> DataFrame:
@@ -219,6 +222,53 @@ def released_leaks(before: DataFrame, after: DataFrame, query: str, most: float
     return both.agg(F.count("*").alias("n"), F.count_if("_a").alias("leaked"), F.count_if(F.col("_a") & F.col("_b").isNotNull()).alias("rewritten"), F.count_if(still).alias("released_leaks"), rate.alias("rate"), F.coalesce(rate <= most, F.lit(True)).alias("passes"))
 
 
+def containing(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(item, key): documents that hold an item's whole text. Items of fewer than five words have none.
+
+    Words 2 to 4 of an item stand whole in every such document, so documents and items meet by equal runs of three words.
+    """
+    words = lambda c: F.split(F.col(c), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.slice("_w", i, F.lit(3))))
+    held = docs.select(key, words(text).alias("_w")).filter(F.size("_w") > 2).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
+    asked = items.select(item, F.col(item_text).alias("_item"), words(item_text).alias("_w")).filter(F.size("_w") > 4).select(item, "_item", F.concat_ws(" ", F.slice("_w", 2, 3)).alias("_run"))
+    pairs = held.join(asked, "_run").select(item, key, "_item")
+    return pairs.join(docs.select(key, F.col(text).alias("_text")), key).filter(F.contains("_text", "_item")).select(item, key).distinct()
+
+
+def anti_leak_gate(docs: DataFrame, gold: DataFrame, key: str, text: str, query: str, query_text: str, rewrites: list[tuple[str, str]], control_every: int = 20, scorer: inverted.Scorer = inverted.LIBRARY) -> DataFrame:
+    """(query, stratum, outcome, initial_hit, final_hit, released): what the gate does with each gold row.
+
+    gold: (query, query_text, stratum, evidence array). A row leaks if its best BM25 hit is among its evidence. Every
+    control_every-th row in id order is a control and stays. Other leaking rows are rewritten by the rules and asked again: `rewritten` if
+    the new question no longer leaks, else `unrewritable` with the old question; rows without a leak are `clean`.
+    """
+    rows = staged(global_rank(gold.select(query, query_text, "stratum", "evidence"), [query], "_place"))
+
+    def leaking(asked: DataFrame, column: str) -> DataFrame:
+        top = inverted.best(docs, asked, key, text, query, column, 1, scorer=scorer).select(F.col("query").alias(query), F.col("key").alias("_key"))
+        return asked.join(top, query, "left").select(query, F.coalesce(F.array_contains("evidence", F.col("_key")), F.lit(False)).alias("_hit"))
+
+    new = substituted(F.col(query_text), [(f"(?i){a}", b) for a, b in rewrites])
+    first = staged(rows.join(leaking(rows, query_text), query).withColumns({"_control": F.col("_place") % control_every == 0, "_new": new}))
+    tried = staged(first.filter(F.col("_hit") & ~F.col("_control") & (F.col("_new") != F.col(query_text))))
+    again = leaking(tried, "_new").withColumnRenamed("_hit", "_again")
+    outcome = F.when(F.col("_control"), "control_group").when(~F.col("_hit"), "clean").when(F.coalesce(~F.col("_again"), F.lit(False)), "rewritten").otherwise("unrewritable")
+    done = first.join(again, query, "left").withColumn("outcome", outcome)
+    changed = F.col("outcome") == "rewritten"
+    return done.select(query, "stratum", "outcome", F.col("_hit").alias("initial_hit"), (F.col("_hit") & ~changed).alias("final_hit"), F.when(changed, F.col("_new")).otherwise(F.col(query_text)).alias("released"))
+
+
+def gate_report(outcomes: DataFrame, most: float = 0.15) -> DataFrame:
+    """(stratum, n, hits, rewritten, unrewritable, clean, control_n, control_hits, control_rate, gated_rate, released_hits, released_rate, passes); the row of all strata is called `all`."""
+    of = lambda name: F.col("outcome") == name
+    control = of("control_group")
+    counts = {"n": F.lit(True), "hits": F.col("initial_hit"), **{x: of(x) for x in ("rewritten", "unrewritable", "clean")}, "control_n": control, "control_hits": control & F.col("initial_hit"), "_gated": ~control, "_gated_hits": ~control & F.col("initial_hit"), "released_hits": F.col("final_hit")}
+    found = outcomes.rollup("stratum").agg(*(F.count_if(c).alias(name) for name, c in counts.items()), F.grouping("stratum").alias("_all"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    found = found.withColumn("stratum", F.when(F.col("_all") == 1, "all").otherwise(F.coalesce(F.col("stratum").cast("string"), F.lit("none")))).withColumns({"control_rate": rate("control_hits", "control_n"), "gated_rate": rate("_gated_hits", "_gated"), "released_rate": rate("released_hits", "n")})
+    return found.withColumn("passes", F.col("released_rate") <= most).drop("_all", "_gated", "_gated_hits")
+
+
 def probe_summary(probes: DataFrame, endpoint: str, latency: str, rejected: str) -> DataFrame:
     """(endpoint, n, p50, rejection_rate, chosen): the endpoint with the smallest latency seen is chosen, ties by name."""
     rows = probes.groupBy(endpoint).agg(F.count("*").alias("n"), percentile_nearest(latency, 0.5).alias("p50"), F.round(F.avg(F.col(rejected).cast("double")), 6).alias("rejection_rate"), F.min(latency).alias("_least"))

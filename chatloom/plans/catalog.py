@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.operators import chunks, context, evaluate, feed, gates, lexical, normalize, scope, similarity, windows
+from chatloom.operators import chunks, context, evaluate, feed, gates, inverted, lexical, normalize, scope, similarity, windows
 from chatloom.operators.graph import connected_components
 from chatloom.streaming import conversations
 
@@ -294,8 +294,8 @@ r as (select *, row_number() over (partition by item_id order by score desc, doc
 
 
 def _ranked(spark, sf_dir, k: int) -> DataFrame:
-    scores = lexical.bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query"), "doc_id", "text", "item_id", "query")
-    return lexical.top_k(scores, "item_id", "doc_id", k)
+    found = inverted.best(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k)
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "score", "rank")
 
 
 @query(_BM25 + f"select item_id, doc_id, score, rank from r where rank <= {TOP_K}")

@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a file or folder wherever Spark can write."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chatloom.operators import inverted
 from chatloom.operators.chunks import MOST_MESSAGES, MOST_TOKENS, count_tokens, place
 from chatloom.operators.scope import scoped
 
@@ -98,6 +99,22 @@ def deliver(stream: DataFrame, grants: Callable[[], DataFrame], send: Callable[[
     return stream.writeStream.foreachBatch(lambda batch, k: send(scoped(batch, grants()), k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_closed(closed: DataFrame, messages_: Callable[[], DataFrame], folder: str, checkpoint: str):
+    """Chunks enter the kept BM25 index of their channel in the batch that closes them; open chunks are never found.
+
+    closed: chunk_stream(..., closed_only=True); messages_: (channel_id, ordinal, text) as stored.
+    """
+
+    def take(batch: DataFrame, k: int) -> None:
+        ranges = batch.select(F.col("channel_id").alias("_channel"), "chunk_index", "first_ordinal", "last_ordinal")
+        inside = messages_().join(ranges, (F.col("channel_id") == F.col("_channel")) & F.col("ordinal").between(F.col("first_ordinal"), F.col("last_ordinal")))
+        lines = F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("text"))))
+        texts = inside.groupBy("channel_id", "chunk_index").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+        inverted.add(texts, k, folder, "channel_id", "chunk_index", "text")
+
+    return closed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def visibility_latency(acks: DataFrame, commits: DataFrame) -> DataFrame:
     """(event_id, latency_ms) from the acknowledgement of a message to the commit that closed its chunk."""
     return acks.join(commits, "event_id").select("event_id", (F.timestamp_diff("MICROSECOND", F.col("acked_at"), F.col("committed_at")) / 1000.0).alias("latency_ms"))
