@@ -1,60 +1,219 @@
-"""Exact vector similarity in blocks: near-duplicate pairs, Hamming pairs, top-k, perceptual hashes."""
+"""Exact vector similarity: near-duplicate pairs, pair counts, Hamming pairs, top-k, perceptual hashes.
+
+Pairs of vectors are compared tile by tile. Each vector belongs to the cell of its nearest pivot and lies in a tile
+of vectors of about the same angle to it, so the triangle inequality bounds every angle between two tiles from below; pairs of tiles
+that cannot reach the wanted cosine are never brought together. Counts over all pairs are taken inside the tiles. Fingerprints within a
+small distance agree in some bands whole, by which they are joined; for large distances, where such bands say nothing, tiles are compared.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.windows import global_rank
+from chatloom.session import staged
+
 BLOCK = 2000
+#: Pivots at most, so that pairs of cells stay few, and rows that pivots are chosen from.
+PIVOTS, PIVOT_ROWS = 256, 4096
+#: Copies of a fingerprint at most, bits that its bands must hold, and fingerprints wanted for each value of them.
+COPIES, LEAST_BITS, CROWD = 40, 8, 16
+#: Slack of bounds on angles against rounding.
+SLACK = 1e-6
+
+
+def _unit(values) -> np.ndarray:
+    m = np.array(values.to_pylist(), np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else np.zeros((0, 1))
 
 
-def _blocked(rows: DataFrame, key: str, value: str, block: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows.count() // block))
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(value).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b")), n
+def _pivots(rows: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
+    """n pivots far from each other, from PIVOT_ROWS rows of least hash."""
+    found = _unit(rows.orderBy(F.xxhash64(key), key).limit(PIVOT_ROWS).select(vector).toArrow().column(0))
+    chosen, near = [0], found @ found[0]
+    while len(chosen) < min(n, len(found)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, found @ found[chosen[-1]])
+    return found[chosen]
 
 
-def _pairs(rows: DataFrame, key: str, value: str, block: int, near, kind: str) -> DataFrame:
-    """(left, right, measure) over all pairs left < right; each pair of blocks is one task of bounded size."""
-    dealt, n = _blocked(rows, key, value, block)
-    sides = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "id", "v")
-    return sides.groupBy("x", "y").applyInArrow(near, f"left_id long, right_id long, {kind}")
+def tiles(rows: DataFrame, key: str, vector: str, least: float, extra: tuple[str, ...] = (), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(cell, tile, id, v, extra) and the pairs of tiles (x, y), x <= y, in which some pair could reach the cosine `least`."""
+    spark, n = rows.sparkSession, rows.count()
+    pivots = _pivots(rows, key, vector, max(1, min(PIVOTS, n // block))) if n else np.zeros((1, 1))
+    columns = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), *extra)
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _unit(batch.column(1)) @ pivots.T if batch.num_rows else np.zeros((0, 1))
+            cell = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
 
-def _sides(group: pa.Table) -> tuple:
-    b, ids = np.asarray(group.column("b")), np.asarray(group.column("id"))
-    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-    return np.nonzero(b == x)[0], np.nonzero(b == y)[0], ids
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema)
+    ranked = staged(global_rank(columns.mapInArrow(cells, f"{kinds}, cell int, angle double"), ["cell", "angle", "id"], "place"))
+    # Tiles are runs of `block` places; those that would reach into another cell are cut there.
+    placed = ranked.withColumn("tile", (F.floor(F.col("place") / block) * PIVOTS + F.col("cell")).cast("long"))
+    about = placed.groupBy("tile", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    most = math.acos(max(-1.0, min(1.0, least)))
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    reach = {r["cell"]: r["high"] for r in about.groupBy("cell").agg(F.max("high").alias("high")).collect()}  # PIVOTS rows
+    meet = [(i, j, float(between[i, j])) for i in reach for j in reach if between[i, j] - reach[i] - reach[j] <= most + SLACK]
+    meet = F.broadcast(spark.createDataFrame(meet, "cell int, other int, apart double"))  # PIVOTS * PIVOTS rows at most
+    other = about.select(F.col("cell").alias("other"), F.col("tile").alias("y"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    bound = F.greatest(F.col("apart") - F.col("high") - F.col("_high"), F.col("low") - F.col("apart") - F.col("_high"), F.col("_low") - F.col("apart") - F.col("high"))
+    pairs = about.join(meet, "cell").join(other, "other").filter((F.col("tile") <= F.col("y")) & (bound <= most + SLACK))
+    return placed.drop("place", "angle", "cell"), pairs.select(F.col("tile").alias("x"), "y")
 
 
-def _emit(ids, left, right, i, j, measure, same: bool, name: str, kind) -> pa.Table:
-    a, b = ids[left[i]], ids[right[j]]
-    keep = a < b if same else a != b
-    return pa.table({"left_id": np.minimum(a, b)[keep], "right_id": np.maximum(a, b)[keep], name: pa.array(measure[keep], kind)})
+def over_pairs(rows: DataFrame, key: str, vector: str, least: float, reduce: Callable[..., pa.Table], schema: str, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """What reduce(ids, others, columns, columns of others, cosines, asked) makes of each pair of tiles that could reach `least`.
+
+    asked marks the pairs to count: each pair of rows once, with the smaller id first or second alike.
+    """
+    dealt, pairs = tiles(rows, key, vector, least, extra, block)
+    pairs = staged(pairs)
+    both = pairs.select("x", "y", F.col("x").alias("tile")).unionByName(pairs.filter("x <> y").select("x", "y", F.col("y").alias("tile")))
+
+    def run(group: pa.Table) -> pa.Table:
+        tile, ids = np.asarray(group.column("tile")), np.asarray(group.column("id"))
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left, right = np.flatnonzero(tile == x), np.flatnonzero(tile == y)
+        m = _unit(group.column("v").combine_chunks())
+        own = {c: np.array(group.column(c).to_pylist()) for c in extra}
+        asked = ids[left][:, None] < ids[right][None, :] if x == y else ids[left][:, None] != ids[right][None, :]
+        return reduce(ids[left], ids[right], {c: v[left] for c, v in own.items()}, {c: v[right] for c, v in own.items()}, m[left] @ m[right].T, asked)
+
+    return dealt.join(both, "tile").groupBy("x", "y").applyInArrow(run, schema)
 
 
 def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
-    def near(group: pa.Table) -> pa.Table:
-        left, right, ids = _sides(group)
-        m = np.array(group.column("v").to_pylist(), np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        dots = m[left] @ m[right].T
-        i, j = np.nonzero(dots >= least)
-        return _emit(ids, left, right, i, j, dots[i, j], group.column("x")[0] == group.column("y")[0], "cosine", pa.float64())
+    """(left_id, right_id, cosine) of all pairs left < right with a cosine of `least` or more. Ids are unique."""
+
+    def near(a, b, _, __, dots, asked) -> pa.Table:
+        i, j = np.nonzero(asked & (dots >= least))
+        return pa.table({"left_id": np.minimum(a[i], b[j]), "right_id": np.maximum(a[i], b[j]), "cosine": pa.array(dots[i, j], pa.float64())})
+
+    return over_pairs(rows, key, vector, least, near, "left_id long, right_id long, cosine double", (), block)
+
+
+def cosine_histogram(rows: DataFrame, key: str, vector: str, bins: int = 20, block: int = BLOCK) -> DataFrame:
+    """(bin, n) over all pairs, counted in the tiles; the last bin is closed, empty bins are 0."""
+
+    def count(a, b, _, __, dots, asked) -> pa.Table:
+        at = np.minimum(np.floor((np.clip(dots[asked], -1, 1) + 1) * (bins / 2)), bins - 1).astype(np.int64)
+        n = np.bincount(at, minlength=bins)
+        return pa.table({"bin": pa.array(np.flatnonzero(n), pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
+
+    counts = over_pairs(rows, key, vector, -1.0, count, "bin long, n long", (), block).groupBy("bin").agg(F.sum("n").alias("n"))
+    return rows.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
 
-    return _pairs(rows, key, vector, block, near, "cosine double")
+def pool_counts(rows: DataFrame, key: str, vector: str, pool: Callable[[dict, dict], np.ndarray], names: tuple[str, ...], thresholds: tuple[float, ...], extra: tuple[str, ...], bins: int = 20, block: int = BLOCK) -> DataFrame:
+    """(pool, pairs, at_or_above array, histogram array, warning) for every pool, counted in the tiles.
+
+    pool(columns, columns of others) gives a matrix of pool numbers, below 0 for none. Columns are arrays of shape (n, 1)
+    and (1, m). A pool without a pair at any threshold is EMPTY_STRUCTURAL_POOL.
+    """
+
+    def count(a, b, own, other, dots, asked) -> pa.Table:
+        where = np.broadcast_to(pool({c: v[:, None] for c, v in own.items()}, {c: v[None, :] for c, v in other.items()}), dots.shape)
+        out = []
+        for k in range(len(names)):
+            found = dots[asked & (where == k)]
+            at = np.minimum(np.floor((np.clip(found, -1, 1) + 1) * (bins / 2)), bins - 1).astype(np.int64)
+            out.append((k, len(found), [int((found >= t).sum()) for t in thresholds], np.bincount(at, minlength=bins).tolist()))
+        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "pairs": pa.array([x[1] for x in out], pa.int64()), "above": pa.array([x[2] for x in out], pa.list_(pa.int64())), "bins": pa.array([x[3] for x in out], pa.list_(pa.int64()))})
+
+    counts = over_pairs(rows, key, vector, -1.0, count, "k int, pairs long, above array<long>, bins array<long>", extra, block)
+    each = lambda c, n: F.array(*(F.coalesce(F.sum(F.col(c)[j]), F.lit(0)) for j in range(n)))
+    counts = counts.groupBy("k").agg(F.sum("pairs").alias("pairs"), each("above", len(thresholds)).alias("above"), each("bins", bins).alias("bins"))
+    every = rows.sparkSession.createDataFrame(list(enumerate(names)), "k int, pool string").join(counts, "k", "left")
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    found = every.select("pool", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("above", zeros(len(thresholds))).alias("at_or_above"), F.coalesce("bins", zeros(bins)).alias("histogram"))
+    return found.withColumn("warning", F.when(F.aggregate("at_or_above", F.lit(0).cast("long"), lambda s, x: s + x) == 0, "EMPTY_STRUCTURAL_POOL"))
+
+
+def measure_counts(rows: DataFrame, key: str, vector: str, bits: str, least: float, most: int, block: int = BLOCK) -> DataFrame:
+    """(cosine, phash, both, edges): how many pairs each measure finds, counted in the tiles."""
+
+    def count(a, b, own, other, dots, asked) -> pa.Table:
+        far = np.bitwise_count(own[bits].astype(np.int64).view(np.uint64)[:, None] ^ other[bits].astype(np.int64).view(np.uint64)[None, :])
+        c, h = asked & (dots >= least), asked & (far <= most)
+        return pa.table({name: pa.array([int(x.sum())], pa.int64()) for name, x in (("cosine", c), ("phash", h), ("both", c & h), ("edges", c | h))})
+
+    counts = over_pairs(rows, key, vector, -1.0, count, "cosine long, phash long, both long, edges long", (bits,), block)
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cosine", "phash", "both", "edges")))
+
+
+# --- fingerprints --------------------------------------------------------------------------------------
+
+
+def band_plan(n: int, most: int) -> tuple[list[int], int] | None:
+    """(masks of bands, bands that agree) by which n fingerprints within `most` bits are joined; None where no bands would tell.
+
+    Of most + k bands k agree whole. k is the least that leaves each value of k bands to about CROWD fingerprints.
+    """
+    for k in range(1, 5):
+        bands = most + k
+        if bands > 64 or math.comb(bands, k) > COPIES or k * (64 // bands) < LEAST_BITS:
+            continue
+        if n >> (k * (64 // bands)) <= CROWD or k == 4 or math.comb(bands + 1, k + 1) > COPIES:
+            cuts = [64 * j // bands for j in range(bands + 1)]
+            return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)], k
+    return None
 
 
 def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int, block: int = BLOCK) -> DataFrame:
+    """(left_id, right_id, distance) of all pairs left < right within `most` bits. Null fingerprints have no pairs."""
+    own = rows.select(F.col(key).cast("long").alias("id"), F.col(bits).cast("long").alias("fp")).filter("fp is not null")
+    plan = band_plan(own.count(), most)
+    return _by_tiles(own, most, block) if plan is None else _by_bands(own, most, *plan)
+
+
+def _by_bands(own: DataFrame, most: int, masks: list[int], agree: int) -> DataFrame:
+    """Distinct fingerprints meet by the bands that agree, each pair in its first ones only, and are then given their rows."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    plans = []
+    for k, chosen in enumerate(combinations(range(len(masks)), agree)):
+        before = [signed(masks[b]) for b in range(chosen[-1]) if b not in chosen]
+        plans.append(F.struct(F.lit(k).alias("plan"), F.lit(signed(sum(masks[b] for b in chosen))).cast("long").alias("mask"), F.array(*(F.lit(x).cast("long") for x in before)).cast("array<bigint>").alias("before")))
+    distinct = staged(own.select("fp").distinct())
+    dealt = distinct.withColumn("at", F.explode(F.array(*plans))).select("fp", "at.plan", F.col("fp").bitwiseAND(F.col("at.mask")).alias("value"), "at.before")
+    away = dealt.select(F.col("fp").alias("other"), "plan", "value")
+    differ = F.col("fp").bitwiseXOR(F.col("other"))
+    met = dealt.join(away, ["plan", "value"]).filter(F.col("fp") < F.col("other")).filter(F.bit_count(differ) <= most).filter(F.forall("before", lambda m: differ.bitwiseAND(m) != 0))
+    near = met.select("fp", "other", F.bit_count(differ).cast("long").alias("distance"))
+    left, right = own.select("fp", F.col("id").alias("_a")), own.select(F.col("fp").alias("other"), F.col("id").alias("_b"))
+    pairs = near.join(left, "fp").join(right, "other").select("_a", "_b", "distance")
+    same = left.join(own.select("fp", F.col("id").alias("_b")), "fp").filter("_a < _b").select("_a", "_b", F.lit(0).cast("long").alias("distance"))
+    return pairs.unionByName(same).select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), "distance")
+
+
+def _by_tiles(own: DataFrame, most: int, block: int) -> DataFrame:
+    """All pairs of tiles of fingerprints."""
+    n = max(1, -(-own.count() // block))
+    dealt = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    sides = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "id", "fp")
+
     def near(group: pa.Table) -> pa.Table:
-        left, right, ids = _sides(group)
-        v = np.asarray(group.column("v"), np.int64).view(np.uint64)
+        b, ids, v = np.asarray(group.column("b")), np.asarray(group.column("id")), np.asarray(group.column("fp"), np.int64).view(np.uint64)
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
         far = np.bitwise_count(v[left][:, None] ^ v[right][None, :])
         i, j = np.nonzero(far <= most)
-        return _emit(ids, left, right, i, j, far[i, j].astype(np.int64), group.column("x")[0] == group.column("y")[0], "distance", pa.int64())
+        a, c = ids[left[i]], ids[right[j]]
+        keep = a < c if x == y else a != c
+        return pa.table({"left_id": np.minimum(a, c)[keep], "right_id": np.maximum(a, c)[keep], "distance": pa.array(far[i, j][keep].astype(np.int64))})
 
-    return _pairs(rows, key, bits, block, near, "distance long")
+    return sides.groupBy("x", "y").applyInArrow(near, "left_id long, right_id long, distance long")
 
 
 def sign_bits(vector: str) -> Column:
@@ -67,27 +226,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, most_queries: int = 20_000) -> DataFrame:
-    """Exact nearest rows by cosine, without the row itself. Queries go to every task in blocks of most_queries."""
+def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, most_queries: int = 4096) -> DataFrame:
+    """Exact nearest rows by cosine, without the row itself. Queries go to every task in blocks of most_queries, and k rows a query come back from it."""
     spark, out = rows.sparkSession, None
     n = max(1, -(-queries.count() // most_queries))
     for b in range(n):
         got = queries.filter(F.pmod(F.xxhash64(query), F.lit(n)) == b).select(query, vector).toArrow()
-        q = np.array(got.column(1).to_pylist(), np.float64)
-        sent = spark.sparkContext.broadcast((np.asarray(got.column(0)), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q))
+        sent = spark.sparkContext.broadcast((np.asarray(got.column(0), np.int64), _unit(got.column(1))))
 
-        def near(batches, sent=sent):
+        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            for batch in batches:
-                m = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(m) or not len(q):
-                    continue
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                ids = np.asarray(batch.column(0))
-                s = np.where(names[:, None] == ids[None, :], -2.0, np.round(q @ m.T, 6))
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                which = np.repeat(np.arange(len(names)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(names[which]), pa.array(ids[best.ravel()]), pa.array(s[which, best.ravel()])], names=["query_id", "id", "score"])
+            score, held = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            for batch in batches if len(q) else ():
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    ids = np.asarray(part.column(0), np.int64)
+                    s = np.where(names[:, None] == ids[None, :], -2.0, np.round(q @ _unit(part.column(1)).T, 6))
+                    score, held = np.hstack([score, s]), np.hstack([held, np.broadcast_to(ids, s.shape)])
+                    best = np.lexsort((held, -score), axis=1)[:, :k]
+                    score, held = np.take_along_axis(score, best, 1), np.take_along_axis(held, best, 1)
+            which = np.repeat(np.arange(len(names)), held.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names[which], pa.int64()), pa.array(held.ravel(), pa.int64()), pa.array(score.ravel(), pa.float64())], names=["query_id", "id", "score"])
 
         found = rows.select(key, vector).mapInArrow(near, "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -456,17 +457,16 @@ def component_sizes(spark, sf_dir):
 
 @query(_EDGES + ", p as (select *, case when a.label <> b.label then 'cross_channel' when a.vec_id // 20 = b.vec_id // 20 then 'intra_session' else 'cross_session' end pool from ed join embeddings a on a.vec_id = left_id join embeddings b on b.vec_id = right_id) select pool, count(*)::bigint pairs, count(*) filter (cosine >= 0.2)::bigint ge_20, count(*) filter (cosine >= 0.3)::bigint ge_30, count(*) filter (cosine >= 0.4)::bigint ge_40 from p group by 1")
 def similarity_pools(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    pairs = similarity.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", -2.0)
-    side = lambda name, key: e.select(F.col("vec_id").alias(key), F.col("label").alias(name))
-    pairs = pairs.join(side("_a", "left_id"), "left_id").join(side("_b", "right_id"), "right_id")
-    pool = F.when(F.col("_a") != F.col("_b"), "cross_channel").when(F.floor(F.col("left_id") / 20) == F.floor(F.col("right_id") / 20), "intra_session").otherwise("cross_session")
-    return pairs.groupBy(pool.alias("pool")).agg(F.count("*").alias("pairs"), *(F.count_if(F.col("cosine") >= t / 100).alias(f"ge_{t}") for t in (20, 30, 40)))
+    def pool(a, b):
+        return np.where(a["label"] != b["label"], 0, np.where(a["vec_id"] // 20 == b["vec_id"] // 20, 1, 2))
+
+    found = similarity.pool_counts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", pool, ("cross_channel", "intra_session", "cross_session"), (0.2, 0.3, 0.4), ("vec_id", "label"))
+    return found.filter("pairs > 0").select("pool", "pairs", *(F.col("at_or_above")[k].alias(f"ge_{t}") for k, t in enumerate((20, 30, 40))))
 
 
 @query(_EDGES + " select b.range as bin, coalesce(n, 0)::bigint n from range(0, 20) b left join (select least(floor((cosine + 1) * 10), 19)::bigint bin, count(*) n from ed group by 1) h on h.bin = b.range")
 def similarity_histogram(spark, sf_dir):
-    return similarity.histogram(similarity.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", -2.0), "cosine")
+    return similarity.cosine_histogram(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @query("with v as (select vec_id, embedding::double[] e from embeddings), s as (select q.vec_id query_id, v.vec_id id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0) select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 10")

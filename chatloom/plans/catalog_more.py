@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.operators import commands, context, evaluate, gates, lexical, normalize, scope, similarity
-from chatloom.plans.catalog import _BITS, _BM25, _CHUNKS, _EDGES, _GOLD, _GRANTS, _REACH, HAMMING, _edges, _grants, _judged, _placed, query, table
+from chatloom.plans.catalog import COSINE, _BITS, _BM25, _CHUNKS, _EDGES, _GOLD, _GRANTS, _REACH, HAMMING, _edges, _grants, _judged, _placed, query, table
 
 # --- identifiers and predicates ------------------------------------------------------------------
 
@@ -111,8 +111,8 @@ def global_counter(spark, sf_dir):
 select count(edges.left_id)::bigint cosine, count(h.left_id)::bigint phash, count(*) filter (edges.left_id is not null and h.left_id is not null)::bigint as both, count(*)::bigint edges
 from edges full join h on edges.left_id = h.left_id and edges.right_id = h.right_id""")
 def edge_counts(spark, sf_dir):
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", similarity.sign_bits("embedding").alias("bits"))
-    return similarity.edge_counts(_edges(spark, sf_dir), similarity.hamming_pairs(bits, "vec_id", "bits", HAMMING))
+    rows = table(spark, sf_dir, "embeddings").withColumn("bits", similarity.sign_bits("embedding"))
+    return similarity.measure_counts(rows, "vec_id", "embedding", "bits", COSINE, HAMMING)
 
 
 @query("""select event_type, count(*)::bigint n, percentile_disc(0.5) within group (order by value) p50, round(avg((event_id % 5 = 0)::int), 6) rejection_rate,
