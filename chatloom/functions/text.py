@@ -14,6 +14,14 @@ SECRET = r"(?i)(?:^|[^a-z0-9])(?:sk-|or-)[A-Za-z0-9_-]{16,}|Bearer\s+[A-Za-z0-9.
 REDACT = r"(?i)(?:sk-|or-)[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]+"
 NEGATIVE_ANSWER = r"(?i)\b(?:not\s+mentioned|not\s+specified|not\s+stated|unmentioned|not\s+clear|cannot\s+be\s+determined|no\s+mention|none|n/a|false|unknown)\b"
 NAMED_FILES = r"(?i)\b(?:session\s*\d+|meeting\s*\d+|photo_\d+|section_\d+|\d+\.(?:png|jpe?g))\b"
+REJECTED_WHOLE = ("no", "yes", "none", "n/a", "false", "true", "")
+META_PREAMBLE = (
+    r"(?i)\b(?:based\s+on|according\s+to|earlier\s+discussion|in\s+(?:the|this|a)\s+conversation|in\s+(?:the|this|a)\s+dialogue|"
+    r"conversations?|how\s+are\s+the\s+images?|how\s+is\s+the\s+images?|does\s+the\s+images?\s+correspond|corresponds?\s+to\s+the\s+images?|"
+    r"what\s+conclusion\s+did|problematic|question'?s?\s+(?:picture|image|photo)|which\s+picture|which\s+photo|which\s+image|"
+    r"sent\s+the\s+image|the\s+image\s+sent|newly\s+learned|session\s+number|image\s+file\s+name|"
+    r"chronological|arrange\s+the|referred\s+to\s+(?:and|or)\s+cited|referred\s+to|referenced)\b"
+)
 CJK = r"[㐀-鿿]"
 
 
@@ -61,8 +69,15 @@ def redacted(text: Column) -> Column:
 
 
 def rejected(text: Column, patterns: tuple[str, ...] = (NEGATIVE_ANSWER, NAMED_FILES)) -> Column:
-    """Any of the patterns is found; a null text is rejected."""
-    return F.coalesce(reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns)), F.lit(True))
+    """Any of the patterns is found, or nothing is left but a bare yes, no or the like; a null text is rejected."""
+    bare = F.lower(F.trim(text)).isin(*REJECTED_WHOLE)
+    return F.coalesce(reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns)) | bare, F.lit(True))
+
+
+def rejection(question: Column, answer: Column) -> Column:
+    """Why a question and its answer are not kept: `answer`, `preamble`, `vocabulary`; null for a pair that is. A null answer is rejected, a null question is an empty one."""
+    asked, preamble, named = F.coalesce(question, F.lit("")), F.lit(META_PREAMBLE), F.lit(NAMED_FILES)
+    return F.when(rejected(answer, (NEGATIVE_ANSWER,)), "answer").when(F.rlike(asked, preamble) | F.rlike(answer, preamble), "preamble").when(F.rlike(asked, named) | F.rlike(answer, named), "vocabulary")
 
 
 def synonyms(text: Column, rules: list[tuple[str, str]]) -> Column:

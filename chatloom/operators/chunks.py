@@ -27,12 +27,12 @@ def count_tokens(text: Column) -> Column:
 def greedy_chunks(messages: DataFrame, channel: str, order: str, text: str, most_messages: int = MOST_MESSAGES, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """Adds n_tokens and the 0-based chunk_index. Batch and stream use the same step."""
 
-    def step(state, row):
-        state = place(state, row["n_tokens"], most_messages, most_tokens)
+    def step(state, n_tokens):
+        state = place(state, n_tokens, most_messages, most_tokens)
         return state, state[0]
 
     counted = messages.withColumn("n_tokens", count_tokens(F.col(text)).cast("long"))
-    return folded(counted, [channel], [order], lambda: (0, 0, 0), step, "chunk_index", pa.int64())
+    return folded(counted, [channel], [order], lambda: (0, 0, 0), step, "chunk_index", pa.int64(), ("n_tokens",))
 
 
 def chunk_table(chunked: DataFrame, channel: str, order: str, sender: str, text: str, closed_only: bool = False) -> DataFrame:

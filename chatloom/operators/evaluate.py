@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from chatloom.functions.text import substituted
 from chatloom.operators import inverted
 from chatloom.operators.graph import connected_components
 from chatloom.operators.lexical import bm25_scores, top_k
-from chatloom.operators.windows import global_rank
+from chatloom.operators.windows import global_rank, global_running
 from chatloom.session import staged
 
 
@@ -34,15 +35,29 @@ def percentile_nearest(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
-def percentile_truncating(value: str, p: float) -> Column:
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.greatest(F.lit(1), (F.lit(p) * F.count(value) - 1).cast("int") + 1))
+def truncating(p: float) -> Callable[[Column], Column]:
+    """The 0-based place int(p * n - 1), no earlier than the first."""
+    return lambda n: F.greatest(F.lit(0), (F.lit(p) * n - 1).cast("long"))
 
 
-def percentile_positional(value: str, q: float) -> Column:
-    """The value at 0-based position n * q, rounded down, and no later than the last."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.least(F.count(value), (F.count(value) * F.lit(q)).cast("int") + 1).cast("int"))
+def positional(q: float) -> Callable[[Column], Column]:
+    """The 0-based place int(n * q), no later than the last."""
+    return lambda n: F.least(n - 1, (n * F.lit(q)).cast("long"))
+
+
+def values_at(rows: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(group, a column for each place): the values at these places of each group's sorted values, nulls left out.
+
+    Equal values are counted first and the counts summed up along one order of groups and values, in ranges; so no
+    list of values is built and a large group is spread over many tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    running = global_running(counts, ["_g", "_v"], "_n", "_before")
+    groups = running.groupBy("_g").agg(F.sum("_n").alias("_all"), F.min("_before").alias("_first"))
+    both = running.join(groups.withColumnRenamed("_g", "_key"), F.col("_g").eqNullSafe(F.col("_key")))
+    at = lambda place: place(F.col("_all")) + F.col("_first")
+    found = both.groupBy("_g").agg(*(F.max(F.when((at(p) >= F.col("_before")) & (at(p) < F.col("_before") + F.col("_n")), F.col("_v"))).alias(name) for name, p in places.items()))
+    return found.withColumnRenamed("_g", group)
 
 
 def retrieval_metrics(retrieved: DataFrame, gold: DataFrame, query: str, key: str) -> DataFrame:

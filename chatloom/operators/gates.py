@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import HARD_FAIL, SECRET, matches
+from chatloom.functions.text import HARD_FAIL, REVIEW, SECRET, matches
+from chatloom.operators.release import ordered_digests
 
 
 def gold_violation() -> Column:
@@ -35,6 +36,14 @@ def vocabulary_gate(rows: DataFrame, key: str, texts: list[str], patterns: tuple
     return rows.select(key, found.alias("patterns")).filter(F.size("patterns") > 0)
 
 
+def vocabulary_outcomes(rows: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """(key, outcome, patterns): rows that fail for internal vocabulary in any of their texts, and those only to be reviewed."""
+    text = F.concat_ws("\n", *texts)
+    found = rows.select(key, matches(text, HARD_FAIL).alias("_hard"), matches(text, REVIEW).alias("_soft"))
+    hard = F.size("_hard") > 0
+    return found.filter(hard | (F.size("_soft") > 0)).select(key, F.when(hard, "fail").otherwise("review").alias("outcome"), F.when(hard, F.col("_hard")).otherwise(F.col("_soft")).alias("patterns"))
+
+
 def multiset_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, n_left, n_right) where the counts differ; one full outer join of pre-aggregated counts."""
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
@@ -63,6 +72,7 @@ def binding_violations(rows: DataFrame, messages: DataFrame) -> DataFrame:
 
 def trace_violations(trace: DataFrame) -> DataFrame:
     """(event_id, violation) of a trace (pos, query_id, event_id, parent_event_id, record_type, action, outcome, block_reason, result_event_id, payload)."""
+    # Record types, actions and reasons of a trace.
     kinds = ("query_started", "round", "result", "llm_call", "query_completed")
     actions = ("retrieve_lexical", "retrieve_dense", "retrieve_visual", "filter_metadata", "expand_context", "extract_clues", "resolve_bridge", "jump", "vlm_extract", "stop")
     reasons = ("no_unused_clue", "visited_query_fingerprint", "no_information_gain", "budget_exhausted")
@@ -99,6 +109,36 @@ def artifact_error(matches_: list[Column]) -> Column:
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in zip(matches_, ARTIFACT_CODES, strict=True)), F.lit(None).cast("string"))
 
 
+def artifact_manifests(media: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(artifact, media_input_sha256, media_count, matrix_sha256, matrix_rows) as the data has them.
+
+    media: (artifact, media_id, content); matrix: (artifact, media_id, vector).
+    """
+    inputs = ordered_digests(media, "artifact", "media_id", ["content"]).select("artifact", F.col("digest").alias("media_input_sha256"), F.col("n").alias("media_count"))
+    vectors = ordered_digests(matrix.withColumn("_v", F.array_join(F.col("vector").cast("array<string>"), " ")), "artifact", "media_id", ["_v"])
+    return inputs.join(vectors.select("artifact", F.col("digest").alias("matrix_sha256"), F.col("n").alias("matrix_rows")), "artifact", "full")
+
+
+def artifact_errors(manifests: DataFrame, media: DataFrame, matrix: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(artifact, code) of every manifest, code null for a sound one: manifests are held against what the media and the matrix digest to now.
+
+    manifests: (artifact, media_input_sha256, media_count, matrix_sha256, model_name, model_version, preprocessing, device).
+    """
+    now = artifact_manifests(media, matrix)
+    now = now.select("artifact", *(F.col(c).alias(f"_{c}") for c in now.columns if c != "artifact"))
+    both = manifests.join(now, "artifact", "left")
+    same = lambda c, other: F.col(c).eqNullSafe(other)
+    tests = [
+        same("media_input_sha256", F.col("_media_input_sha256")),
+        same("model_name", F.lit(expected["model_name"])) & same("model_version", F.lit(expected["model_version"])),
+        same("preprocessing", F.lit(expected["preprocessing"])),
+        same("device", F.lit(expected["device"])),
+        same("matrix_sha256", F.col("_matrix_sha256")),
+        same("media_count", F.col("_matrix_rows")),
+    ]
+    return both.select("artifact", artifact_error(tests).alias("code"))
+
+
 def returning(rows: DataFrame) -> DataFrame:
     """Gold rows that expect a result."""
     return rows.filter("expected_action = 'return_result'")

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.operators.windows import global_rank
+
 VOLATILE = frozenset({"output_path", "run_id", "created_at", "timestamp"})
 
 
@@ -34,12 +36,21 @@ def row_digest(rows: DataFrame) -> str:
     return hashlib.sha256("|".join(map(str, r)).encode()).hexdigest()
 
 
-def ordered_digest(rows: DataFrame, key: str, parts: list[str]) -> str:
-    """sha256 over the digests of blocks of rows in key order; memory is one block's digest a row of the result."""
-    line = F.concat_ws("\u0000", *(F.col(c).cast("string") for c in [key, *parts]))
-    block = rows.select(F.col(key).alias("k"), F.sha2(line, 256).alias("d")).withColumn("b", F.substring("d", 1, 3))
-    heads = block.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "\n"), 256).alias("d"))
-    return hashlib.sha256("".join(r["b"] + r["d"] for r in sorted(heads.collect())).encode()).hexdigest()  # 4096 rows at most
+def ordered_digests(rows: DataFrame, group: str, key: str, parts: list[str], fan: int = 1024, levels: int = 4) -> DataFrame:
+    """(group, n, digest): sha256 over the rows of each group in key order, by `levels` levels of `fan` digests each.
+
+    A row's digest is that of its key and parts; each level joins the digests of `fan` neighbours and digests them. It
+    depends on the order of keys alone, not on files, and no array holds more than `fan` digests. Up to fan ** levels rows a group.
+    """
+    line = F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in [key, *parts]))
+    own = global_rank(rows.select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.sha2(line, 256).alias("_d")), ["_g", "_key", "_d"], "_place")
+    first = own.groupBy("_g").agg(F.min("_place").alias("_first"), F.count("*").alias("n")).withColumnRenamed("_g", "_h")
+    level = own.join(first, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", (F.col("_place") - F.col("_first")).alias("_at"), "_d", "n")
+    over = F.when(F.col("n") > fan**levels, F.raise_error(F.lit("more rows in a group than the levels hold"))).otherwise(F.col("n"))
+    for _ in range(levels):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]), "")
+        level = level.groupBy("_g", F.floor(F.col("_at") / fan).alias("_at")).agg(F.sha2(joined, 256).alias("_d"), F.max("n").alias("n"))
+    return level.select(F.col("_g").alias(group), over.cast("long").alias("n"), F.col("_d").alias("digest"))
 
 
 def publish(rows: DataFrame, root: str, about: dict | None = None, approve: bool = True) -> str:

@@ -29,6 +29,18 @@ def global_rank(rows: DataFrame, order: list[str], name: str = "chronological_ra
     return ranged.withColumn("_k", inside).join(moved, "_range").withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_range", "_k", "_before")
 
 
+def global_running(rows: DataFrame, order: list[str], weight: str, name: str = "before") -> DataFrame:
+    """The sum of the weights that come earlier in a total order, without a task that sees all rows."""
+    ranged = staged(rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("_range", F.spark_partition_id()))
+    total, offsets = 0, []
+    for r in sorted(ranged.groupBy("_range").agg(F.sum(weight).alias("n")).collect()):  # one row a partition
+        offsets.append((r["_range"], total))
+        total += r["n"]
+    moved = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_range int, _moved long"))
+    inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("_sum", inside).join(moved, "_range").withColumn(name, F.col("_moved") + F.col("_sum") - F.col(weight)).drop("_range", "_sum", "_moved")
+
+
 def adjacent_inversion(rows: DataFrame, group: str, order: str, day: str) -> DataFrame:
     """Both neighbours of an inverted pair are flagged: the one before has the later day."""
     w = Window.partitionBy(group).orderBy(order)
@@ -91,10 +103,11 @@ def top_per_group(rows: DataFrame, group: str, order: list, n: int, overall: int
     return best.orderBy(*(overall_order or order)).limit(overall) if overall else best
 
 
-def folded(rows: DataFrame, group: list[str], order: list[str], start, step, out: str, out_type: pa.DataType) -> DataFrame:
-    """Adds what step(state, row) -> (state, value) says of each row, in order within its group.
+def folded(rows: DataFrame, group: list[str], order: list[str], start, step, out: str, out_type: pa.DataType, needs: tuple[str, ...]) -> DataFrame:
+    """Adds what step(state, *needed values) -> (state, value) says of each row, in order within its group.
 
-    Rows stream through sorted partitions, so memory is one state whatever the size of a group.
+    Rows stream through sorted partitions, so memory is one state whatever the size of a group. Only the columns
+    of the group and those that a step needs become Python values; the others pass as they came.
     """
     names = rows.columns
 
@@ -102,11 +115,11 @@ def folded(rows: DataFrame, group: list[str], order: list[str], start, step, out
         key, state = None, None
         for batch in batches:
             values = []
-            for row in batch.to_pylist():
-                own = tuple(row[c] for c in group)
+            keys, needed = (zip(*(batch.column(names.index(c)).to_pylist() for c in cs), strict=True) for cs in (group, needs))
+            for own, row in zip(keys, needed, strict=True):
                 if own != key or state is None:
                     key, state = own, start()
-                state, value = step(state, row)
+                state, value = step(state, *row)
                 values.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, out_type)], names=[*names, out])
 
@@ -128,13 +141,13 @@ def diverse_evidence(rows: DataFrame, query: str, session: str, order: list, mos
     """One visit in rank order. A row of a new session is always taken, and ends the visit once
     `most` rows are taken; a row of a known session is taken while there are fewer."""
 
-    def step(state, row):
+    def step(state, own):
         taken, sessions, over = state
-        new = row[session] not in sessions
+        new = own not in sessions
         take = not over and (new or taken < most)
         if take:
-            taken, sessions = taken + 1, sessions | {row[session]}
+            taken, sessions = taken + 1, sessions | {own}
         return (taken, sessions, over or (take and new and taken >= most)), take
 
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
-    return folded(ranked, [query], ["_rank"], lambda: (0, frozenset(), False), step, "taken", pa.bool_()).filter("taken").drop("_rank", "taken")
+    return folded(ranked, [query], ["_rank"], lambda: (0, frozenset(), False), step, "taken", pa.bool_(), (session,)).filter("taken").drop("_rank", "taken")

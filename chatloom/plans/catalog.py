@@ -527,8 +527,9 @@ def strata_split_pivot(spark, sf_dir):
 
 @query("select event_type, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, median(value) med, list_sort(list(value))[floor(greatest(0.95 * count(*) - 1, 0))::bigint + 1] p95_trunc from events group by 1")
 def percentiles(spark, sf_dir):
-    p = evaluate.percentile_nearest
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p("value", 0.5).alias("p50"), p("value", 0.95).alias("p95"), F.median("value").alias("med"), evaluate.percentile_truncating("value", 0.95).alias("p95_trunc"))
+    p, events = evaluate.percentile_nearest, table(spark, sf_dir, "events")
+    near = events.groupBy("event_type").agg(p("value", 0.5).alias("p50"), p("value", 0.95).alias("p95"), F.median("value").alias("med"))
+    return near.join(evaluate.values_at(events, "event_type", "value", {"p95_trunc": evaluate.truncating(0.95)}), "event_type", "left")
 
 
 @query("select event_type, round(avg(case when value > 50 then 1.0 else 0 end), 6) rate, count(*)::bigint sample_size, count(distinct user_id)::bigint users, count(*) filter (value > 50)::bigint hits from events group by 1")
@@ -829,7 +830,7 @@ def normalised_answers(spark, sf_dir):
 
 @query("""select event_type, list_sort(list(value))[least(count(value), floor(count(value) * 0.5)::bigint + 1)] p50, list_sort(list(value))[least(count(value), floor(count(value) * 0.9)::bigint + 1)] p90 from events where value is not null group by 1""")
 def percentiles_positional(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("value is not null").groupBy("event_type").agg(evaluate.percentile_positional("value", 0.5).alias("p50"), evaluate.percentile_positional("value", 0.9).alias("p90"))
+    return evaluate.values_at(table(spark, sf_dir, "events"), "event_type", "value", {"p50": evaluate.positional(0.5), "p90": evaluate.positional(0.9)})
 
 
 @query("""with m as (select vec_id, vec_id // (2 + label % 12) cluster, vec_id % 7 g from embeddings), s as (select cluster from m group by 1 having count(*) between 2 and 10)
