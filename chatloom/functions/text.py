@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,7 @@ META_PREAMBLE = (
     r"sent\s+the\s+image|the\s+image\s+sent|newly\s+learned|session\s+number|image\s+file\s+name|"
     r"chronological|arrange\s+the|referred\s+to\s+(?:and|or)\s+cited|referred\s+to|referenced)\b"
 )
+STROKES = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i"}
 CJK = r"[㐀-鿿]"
 
 
@@ -105,7 +107,22 @@ def chunk_id(channel: Column, message_ids: Column) -> Column:
     return F.when(F.size(message_ids) == 0, F.concat(channel, F.lit(":empty"))).otherwise(F.concat(channel, F.lit(":"), first, F.lit("-"), last))
 
 
+def _bases() -> dict[str, str]:
+    """Small letters up to U+1FFF that Unicode decomposes into a letter and marks, with that letter."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if c == c.lower() and marks and all(unicodedata.category(m) == "Mn" for m in marks):
+            out[c] = base
+    return out | STROKES
+
+
 def folded_accents(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    # Fixed values, letter by letter.
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without accents: letters become those they decompose to, marks of their own go."""
+    table = _bases()
+    return F.regexp_replace(F.translate(F.lower(text), "".join(table), "".join(table.values())), "[\u0300-\u036f]", "")
+
+
+def any_accent(text: Column) -> Column:
+    """A key for joins and groups that is equal for texts that differ in case and accents alone; rows keep their own spelling."""
+    return F.collate(text, "UNICODE_CI_AI")

@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from chatloom.operators.windows import global_rank, global_running
 from chatloom.session import staged
 
 
+#: Failed states of a split search that are kept at most.
+REMEMBERED = 1 << 20
+
+
 def hit_rates(top1: DataFrame, gold: DataFrame, query: str, key: str, stratum: str) -> DataFrame:
     """Top-1 hits by stratum: (stratum, n, hits, hit_rate). gold: (query, stratum, evidence array)."""
     found = gold.join(top1.filter("rank = 1").select(query, key), query, "left")
@@ -152,40 +157,51 @@ def kappa(rows: DataFrame, a: str, b: str) -> float | None:
     return 1.0 if chance == 1 else (same - chance) / (1 - chance)
 
 
-def assign_splits(components: DataFrame, total: int, quotas: dict[str, int], salt: str, most: int = 2000) -> dict[str, str]:
-    """Component -> dev or test so that dev has `total` rows and each stratum is near its quota.
+def assign_splits(components: DataFrame, total: int, quotas: dict[str, int], salt: str, most: int = 1_000_000) -> dict[str, str]:
+    """Component -> dev or test so that dev has `total` rows and each stratum is near its quota: within 15 % of it, or 8.
 
-    components: (component, stratum, n). They are few by nature (checked); the search visits
-    them in salted order, with the rows left and the states already failed as bounds.
+    components: (component, stratum, n) of gold rows, at most `most` components (checked). They are visited in salted order, taking
+    one is tried before leaving it, and the first choice that meets all is the answer. A branch ends as soon as some stratum is over, or could no
+    longer reach its quota, or the total could not be met; REMEMBERED failed states are kept, which only saves time.
     """
     strata = sorted(quotas)
     known = F.when(F.col("stratum").isin(strata), F.col("stratum"))  # all strata without a quota count as one
     found = components.groupBy("component").agg(F.lit(1).alias("_one")).count()
     if found > most:
         raise ValueError(f"{found} components, more than {most}")
-    size: dict[str, Counter] = {}
+    place, size = {s: k for k, s in enumerate(strata)}, {}
     for r in components.groupBy("component", known.alias("stratum")).agg(F.sum("n").alias("n")).collect():  # most * (quotas + 1) rows
-        size.setdefault(r["component"], Counter())[r["stratum"]] += r["n"]
+        size.setdefault(r["component"], [0] * (len(strata) + 1))[place.get(r["stratum"], len(strata))] += r["n"]
     order = sorted(size, key=lambda c: (hashlib.sha256(f"{salt}:{c}".encode()).hexdigest(), c))
-    left = [0] * (len(order) + 1)
-    for k in range(len(order) - 1, -1, -1):
-        left[k] = left[k + 1] + sum(size[order[k]].values())
-    failed = set()
-    # A stack of (position, dev so far, chosen); including a component is tried first.
-    stack = [(0, (0,) * len(strata), 0, ())]
-    while stack:
-        k, counts, others, chosen = stack.pop()
-        now = sum(counts) + others
-        if now == total and all(abs(c - quotas[s]) <= max(8, int(0.15 * quotas[s])) for c, s in zip(counts, strata, strict=True)):
-            return {c: "dev" if i in set(chosen) else "test" for i, c in enumerate(order)}
-        if k >= len(order) or now >= total or now + left[k] < total or (k, counts, others) in failed:
+    own = np.array([size[c] for c in order], np.int64).reshape(len(order), len(strata) + 1)
+    left = np.vstack([np.cumsum(own[::-1], axis=0)[::-1], np.zeros((1, len(strata) + 1), np.int64)]).tolist()
+    room = [max(8, int(0.15 * quotas[s])) for s in strata]
+    low, high = ([quotas[s] + sign * r for s, r in zip(strata, room, strict=True)] for sign in (-1, 1))
+
+    def hopeless(k: int, now: tuple[int, ...]) -> bool:
+        taken, rest = sum(now), left[k]
+        return taken > total or taken + sum(rest) < total or any(c > h or c + r < lo for c, r, lo, h in zip(now, rest, low, high, strict=False))
+
+    # path: the rows taken before each component decided so far, and whether it was taken.
+    path, now, failed = [], (0,) * (len(strata) + 1), set()
+    while True:
+        k = len(path)
+        if sum(now) == total and all(lo <= c <= h for c, lo, h in zip(now, low, high, strict=False)):
+            return {c: "dev" if j < k and path[j][1] else "test" for j, c in enumerate(order)}
+        if k < len(order) and sum(now) < total and not hopeless(k, now) and (k, now) not in failed:
+            path.append((now, True))
+            now = tuple(c + x for c, x in zip(now, own[k].tolist(), strict=True))
             continue
-        failed.add((k, counts, others))
-        own = size[order[k]]
-        stack.append((k + 1, counts, others, chosen))
-        more = tuple(c + own[s] for c, s in zip(counts, strata, strict=True))
-        stack.append((k + 1, more, others + sum(v for s, v in own.items() if s not in quotas), (*chosen, k)))
-    raise ValueError("no assignment meets the quotas")
+        if len(failed) < REMEMBERED:
+            failed.add((k, now))
+        while path and not path[-1][1]:
+            before, _ = path.pop()
+            if len(failed) < REMEMBERED:
+                failed.add((len(path), before))
+        if not path:
+            raise ValueError("no assignment meets the quotas")
+        now = path[-1][0]
+        path[-1] = now, False
 
 
 def cross_split_edges(edges: DataFrame, split: DataFrame, left: str, right: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.operators import gates, release
+from chatloom.operators import evaluate, gates, release
 from chatloom.plans.catalog import query, table
 
 
@@ -62,3 +62,40 @@ def artifacts_verified(spark, sf_dir):
     other = lambda k, name: F.when(kind == k, "other").otherwise(_EXPECTED[name]).alias(name)
     manifests = old.select("artifact", "media_input_sha256", (F.col("media_count") + F.when(kind == 6, 1).otherwise(0)).alias("media_count"), "matrix_sha256", other(2, "model_name"), F.lit("1").alias("model_version"), other(3, "preprocessing"), other(4, "device"))
     return gates.artifact_errors(manifests, rows, rows, _EXPECTED)
+
+
+_NAMES = "case c_custkey % 6 when 0 then 'Nguyễn Đức ' when 1 then 'Őszi Åse ' when 2 then 'ȘERBAN ' when 3 then 'żółć ' when 4 then 'Crème ' else 'Øyvind ' end || c_mktsegment"
+
+
+def _names(spark, sf_dir):
+    k = F.col("c_custkey") % 6
+    first = F.when(k == 0, "Nguyễn Đức ").when(k == 1, "Őszi Åse ").when(k == 2, "ȘERBAN ").when(k == 3, "żółć ").when(k == 4, "Crème ").otherwise("Øyvind ")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(first, "c_mktsegment").alias("name"))
+
+
+@query(f"select c_custkey, translate(lower(strip_accents(translate({_NAMES}, 'ĐøØł', 'DoOl'))), 'đ', 'd') name from customer")
+def accents_stripped(spark, sf_dir):
+    return _names(spark, sf_dir).select("c_custkey", T.folded_accents(F.col("name")).alias("name"))
+
+
+@query(f"with n as (select c_custkey, {_NAMES} nm from customer), m as (select c_custkey, case when c_custkey % 2 = 0 then upper(nm) else lower(nm) end nm from n) select min(c_custkey) first_id, count(*)::bigint n from m group by lower(strip_accents(translate(lower(nm), 'đøł', 'dol')))")
+def senders_of_any_accent(spark, sf_dir):
+    """Names that differ in case and accents alone are one sender, by collation."""
+    rows = _names(spark, sf_dir).select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("name")).otherwise(F.lower("name")).alias("name"))
+    return rows.groupBy(T.any_accent(F.col("name")).alias("name")).agg(F.min("c_custkey").alias("first_id"), F.count("*").alias("n")).select("first_id", "n")
+
+
+@query("""with c as (select doc_id // 3 component, coalesce('s' || quality, 'none') stratum, count(*) n from labels where doc_id is not null group by all)
+select count(distinct component)::bigint components, floor(sum(n) * 0.4)::bigint dev_rows, true quotas_met, 0::bigint in_both from c""")
+def split_assignment(spark, sf_dir):
+    """Dev holds two fifths of the rows to the row, and of each stratum nearly so; no component is in both."""
+    rows = table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy(F.floor(F.col("doc_id") / 3).alias("component"), F.coalesce(F.concat(F.lit("s"), "quality"), F.lit("none")).alias("stratum")).agg(F.count("*").alias("n"))
+    sums = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}  # a row a stratum
+    quotas = {s: int(n * 0.4) for s, n in sums.items()}
+    split = evaluate.assign_splits(rows, int(sum(sums.values()) * 0.4), quotas, "salt")
+    split = spark.createDataFrame(list(split.items()) or [], "component long, split string")
+    dev = rows.join(split, "component").filter("split = 'dev'")
+    limits = F.create_map(*(F.lit(x) for s, q in quotas.items() for x in (s, q)))
+    near = dev.groupBy("stratum").agg(F.sum("n").alias("n")).agg(F.coalesce(F.bool_and(F.abs(F.col("n") - limits[F.col("stratum")]) <= F.greatest(F.lit(8), 0.15 * limits[F.col("stratum")])), F.lit(False)).alias("quotas_met"))
+    twice = split.groupBy("component").agg(F.count_distinct("split").alias("k")).agg(F.count("*").alias("components"), F.count_if(F.col("k") > 1).alias("in_both"))
+    return twice.crossJoin(dev.agg(F.sum("n").alias("dev_rows"))).crossJoin(near).select("components", "dev_rows", "quotas_met", "in_both")  # one row each

@@ -81,3 +81,45 @@ def test_every_fault_of_an_artifact_is_found(spark):
     assert code(sound, media, changed) == {"x": None, "y": "MATRIX_SHA256_MISMATCH"}
     assert code(sound.withColumn("media_count", F.lit(9)))["x"] == "MEDIA_COUNT_MISMATCH"
     assert code(sound, media.filter("artifact = 'x'"), matrix.filter("artifact = 'x'"))["y"] == "MEDIA_INPUT_SET_MISMATCH"
+
+
+def test_split_of_many_components(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("component"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None)), (F.col("id") % 4 + 1).cast("int")).alias("stratum"), (F.col("id") * 7 % 5 + 1).alias("n"))
+    quotas = {"a": 30_000, "b": 31_000, "c": 29_500}
+    split = evaluate.assign_splits(rows, 120_001, quotas, "x")
+    sums = {}
+    for r in rows.collect():
+        if split[r["component"]] == "dev":
+            sums[r["stratum"]] = sums.get(r["stratum"], 0) + r["n"]
+    assert len(split) == 100_000 and sum(sums.values()) == 120_001 and all(abs(sums[s] - q) <= 0.15 * q for s, q in quotas.items())
+
+
+def test_split_takes_the_first_choice_that_meets_all(spark):
+    import itertools
+
+    for seed in range(6):
+        r = random.Random(seed)
+        own = [(f"c{k}", r.choice("ab"), r.randrange(1, 12)) for k in range(9)]
+        quotas = {"a": sum(n for _, s, n in own if s == "a") // 2, "b": sum(n for _, s, n in own if s == "b") // 2}
+        total = sum(n for *_, n in own) // 2
+        order = sorted(own, key=lambda x: (hashlib.sha256(f"s:{x[0]}".encode()).hexdigest(), x[0]))
+        want = None
+        for take in itertools.product([True, False], repeat=9):
+            dev = [x for x, t in zip(order, take, strict=True) if t]
+            if sum(x[2] for x in dev) == total and all(abs(sum(x[2] for x in dev if x[1] == s) - q) <= max(8, int(0.15 * q)) for s, q in quotas.items()):
+                want = {x[0] for x in dev}
+                break
+        table = spark.createDataFrame(own, "component string, stratum string, n long")
+        if want is None:
+            with pytest.raises(ValueError, match="no assignment"):
+                evaluate.assign_splits(table, total, quotas, "s")
+        else:
+            assert {c for c, x in evaluate.assign_splits(table, total, quotas, "s").items() if x == "dev"} == want
+
+
+def test_letters_beyond_latin_1_fold(spark):
+    names = ["Nguyễn", "Đức", "ő", "ș", "ż", "ZŁOTY", "e\u0301", "Ångström", "ß", "中", None]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, n string")
+    assert [r[0] for r in rows.orderBy("k").select(T.folded_accents(F.col("n"))).collect()] == ["nguyen", "duc", "o", "s", "z", "zloty", "e", "angstrom", "ß", "中", None]
+    pairs = spark.createDataFrame([("Đức", "duc"), ("ễ", "E"), ("a", "b"), ("Zołć", "ZOLC")], "a string, b string")
+    assert [r[0] for r in pairs.select(T.any_accent(F.col("a")) == T.any_accent(F.col("b"))).collect()] == [True, True, False, True]
