@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chatloom.operators.windows import global_rank
+from chatloom.session import exists, read_text, write_text
 
+# Keys that a configuration's hash leaves out.
 VOLATILE = frozenset({"output_path", "run_id", "created_at", "timestamp"})
 
 
@@ -55,31 +57,56 @@ def ordered_digests(rows: DataFrame, group: str, key: str, parts: list[str], fan
 
 def publish(rows: DataFrame, root: str, about: dict | None = None, approve: bool = True) -> str:
     """Writes a new release beside the old ones; with approve, CURRENT is moved in one step."""
-    name = uuid.uuid4().hex
-    rows.write.parquet(f"{root}/releases/{name}")
-    manifest = {"release": name, "rows_digest": row_digest(rows.sparkSession.read.parquet(f"{root}/releases/{name}")), "about": about or {}}
-    with open(f"{root}/releases/{name}.json", "w", encoding="utf-8") as f:
-        json.dump(manifest, f, sort_keys=True)
+    return publish_tables({"": rows}, root, {}, about, approve)
+
+
+def publish_tables(tables: dict[str, DataFrame], root: str, references: dict[tuple[str, str], tuple[str, str]], about: dict | None = None, approve: bool = True) -> str:
+    """A full refresh: all tables as one release, seen together or not at all.
+
+    references: (table, column) -> (table, column) that must hold each value that is not null. Everything is written and checked
+    before the release has a manifest; only then may CURRENT point to it.
+    """
+    spark, name = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    at = {table: f"{root}/releases/{name}/{table}".rstrip("/") for table in tables}
+    for table, rows in tables.items():
+        rows.write.parquet(at[table])
+    read = {table: spark.read.schema(rows.schema).parquet(at[table]) for table, rows in tables.items()}
+    for (table, column), (other, key) in references.items():
+        lost = read[table].filter(F.col(column).isNotNull()).join(read[other].select(F.col(key).alias(column)), column, "left_anti").count()
+        if lost:
+            raise ValueError(f"{lost} rows of {table}.{column} are not in {other}.{key}")
+    manifest = {"release": name, "digests": {table: row_digest(rows) for table, rows in read.items()}, "schemas": {table: rows.schema.json() for table, rows in read.items()}, "about": about or {}}
+    write_text(spark, f"{root}/releases/{name}.json", json.dumps(manifest, sort_keys=True))
     if approve:
-        promote(root, name)
+        promote(spark, root, name)
     return name
 
 
-def promote(root: str, name: str) -> None:
-    with open(f"{root}/CURRENT.new", "w", encoding="utf-8") as f:
-        f.write(name)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{root}/CURRENT.new", f"{root}/CURRENT")
+def promote(spark: SparkSession, root: str, name: str, report: DataFrame | None = None) -> None:
+    """Move CURRENT to a release that has a manifest; with a report, only if all of its `passes` hold."""
+    if not exists(spark, f"{root}/releases/{name}.json"):
+        raise ValueError(f"release {name} was not finished")
+    if report is not None and (report.filter(~F.coalesce("passes", F.lit(False))).count() or not report.count()):
+        raise ValueError(f"release {name} does not pass its gates")
+    write_text(spark, f"{root}/CURRENT", name)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The approved release; fails if its rows are not those that were published."""
-    with open(f"{root}/CURRENT", encoding="utf-8") as f:
-        name = f.read().strip()
-    with open(f"{root}/releases/{name}.json", encoding="utf-8") as f:
-        manifest = json.load(f)
-    rows = spark.read.parquet(f"{root}/releases/{name}")
-    if row_digest(rows) != manifest["rows_digest"]:
+def current(spark: SparkSession, root: str, table: str = "") -> DataFrame:
+    """A table of the approved release; fails if its rows are not those that were published."""
+    name = read_text(spark, f"{root}/CURRENT").strip()
+    manifest = json.loads(read_text(spark, f"{root}/releases/{name}.json"))
+    rows = spark.read.schema(StructType.fromJson(json.loads(manifest["schemas"][table]))).parquet(f"{root}/releases/{name}/{table}".rstrip("/"))
+    if row_digest(rows) != manifest["digests"][table]:
         raise ValueError(f"release {name} has been changed")
     return rows
+
+
+def index_manifest(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, str, list[str]]], about: dict[str, Any]) -> dict:
+    """Binds what an index holds now into one file: of each table (rows, key, parts) its count and digest in key order."""
+    found = {}
+    for name, (rows, key, parts) in tables.items():
+        digest = ordered_digests(rows.withColumn("_all", F.lit(0)), "_all", key, parts).first()
+        found[name] = {"count": digest["n"] if digest else 0, "sha256": digest["digest"] if digest else None}
+    manifest = {"artifact_type": "index", "tables": found, "about": about}
+    write_text(spark, path, json.dumps(manifest, indent=2, sort_keys=True) + "\n")
+    return manifest

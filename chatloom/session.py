@@ -40,6 +40,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole and then put in its place in one step."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, where = hadoop.Path(f"{path}.{uuid.uuid4().hex}"), hadoop.Path(path)
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(where.toUri(), conf) if where.toUri().getScheme() else hadoop.FileContext.getFileContext(conf)
+    context.rename(new, where, over)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a file or folder wherever Spark can write."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
