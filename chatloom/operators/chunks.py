@@ -35,18 +35,31 @@ def greedy_chunks(messages: DataFrame, channel: str, order: str, text: str, most
     return folded(counted, [channel], [order], lambda: (0, 0, 0), step, "chunk_index", pa.int64(), ("n_tokens",))
 
 
-def chunk_table(chunked: DataFrame, channel: str, order: str, sender: str, text: str, closed_only: bool = False) -> DataFrame:
-    """One row a chunk: its message range, header and lines; the last chunk of a channel is open."""
+def message_line(sender: str, text: str, media: str | None = None) -> Column:
+    """`sender: text`, then `[image:id]` for each of a message's media, so that they stand where they were sent."""
     line = F.concat(F.coalesce(F.col(sender).cast("string"), F.lit("unknown")), F.lit(": "), F.coalesce(text, F.lit("")))
+    if media is None:
+        return line
+    images = F.array_join(F.transform(F.coalesce(F.col(media), F.array().cast("array<string>")), lambda x: F.concat(F.lit("[image:"), x.cast("string"), F.lit("]"))), " ")
+    return F.when(images != "", F.concat(line, F.lit(" "), images)).otherwise(line)
+
+
+def chunk_table(chunked: DataFrame, channel: str, order: str, sender: str, text: str, closed_only: bool = False, day: str | None = None, media: str | None = None) -> DataFrame:
+    """One row a chunk: its message range, header and lines; the last chunk of a channel is open.
+
+    With day, the header tells that of the chunk's first message; with media, lines name their images.
+    """
+    line = message_line(sender, text, media)
     rows = chunked.groupBy(channel, "chunk_index").agg(
         F.min(order).alias("first_ordinal"),
         F.max(order).alias("last_ordinal"),
         F.count("*").alias("n_messages"),
         F.sum("n_tokens").alias("token_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("_lines"),
+        *([F.min_by(F.col(day).cast("string"), order).alias("_day")] if day else []),
     )
     last = F.max("chunk_index").over(Window.partitionBy(channel))
-    rows = rows.withColumn("status", F.when(F.col("chunk_index") == last, "open").otherwise("closed")).withColumn("text", F.concat(F.lit("[conversation:"), F.col(channel).cast("string"), F.lit("]\n"), F.col("_lines"))).drop("_lines")
+    rows = rows.withColumn("status", F.when(F.col("chunk_index") == last, "open").otherwise("closed")).withColumn("text", F.concat(F.lit("[conversation:"), F.col(channel).cast("string"), F.lit("]"), *([F.lit(" [day:"), F.coalesce("_day", F.lit("")), F.lit("]")] if day else []), F.lit("\n"), F.col("_lines"))).drop("_lines", "_day")
     return rows.filter("status = 'closed'") if closed_only else rows
 
 
@@ -77,6 +90,30 @@ def expanded(selected: DataFrame, chunks: DataFrame, document: str, index: str)
     return chunks.join(wanted, [document, index], "left_semi")
 
 
+def directed_ranges(selected: DataFrame, chunks: DataFrame, document: str, index: str) -> DataFrame:
+    """(selected columns, low, high, truncated): the chunks that a section's level and direction reach, inside its document.
+
+    Level 1 is the section alone; 2 and 3 reach 2 and 5 chunks to either side of the centre, or 4 and 10 to one side: `forward` from the
+    section's last chunk, `backward` from its first. truncated: the document ends earlier. Sections of level 0 are gone.
+    """
+    ends = chunks.groupBy(document).agg(F.min(index).alias("_first"), F.max(index).alias("_last"))
+    both, one = F.when(F.col("level") == 2, 2).otherwise(5), F.when(F.col("level") == 2, 4).otherwise(10)
+    alone = (F.col("level") == 1) | F.col("direction").isNull() | ~F.col("direction").isin("both", "forward", "backward")
+    low = F.when(alone, F.col("first_index")).when(F.col("direction") == "both", F.col("center_index") - both).when(F.col("direction") == "backward", F.col("first_index") - one).otherwise(F.col("first_index"))
+    high = F.when(alone, F.col("last_index")).when(F.col("direction") == "both", F.col("center_index") + both).when(F.col("direction") == "forward", F.col("last_index") + one).otherwise(F.col("last_index"))
+    rows = selected.filter("level > 0").join(ends, document).withColumns({"_low": low, "_high": high})
+    cut = (F.col("_low") < F.col("_first")) | (F.col("_high") > F.col("_last"))
+    return rows.select(*selected.columns, F.greatest("_low", "_first").alias("low"), F.least("_high", "_last").alias("high"), cut.alias("truncated"))
+
+
+def output_chunks(ranges: DataFrame, query: str, document: str, rank: str, most: int = 30) -> DataFrame:
+    """(query, document, chunk, rank): chunks of all ranges once each, under their best rank, the first `most` of each query."""
+    each = ranges.select(query, document, rank, F.explode(F.sequence("low", "high")).alias("chunk_index"))
+    once = each.groupBy(query, document, "chunk_index").agg(F.min(rank).alias(rank))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(rank, document, "chunk_index"))
+    return once.withColumn("_k", place).filter(F.col("_k") <= most).drop("_k")
+
+
 def merged_ranges(ranges: DataFrame, document: str, low: str, high: str) -> DataFrame:
     """Overlapping or touching ranges of a document as one."""
     w = Window.partitionBy(document).orderBy(low, high)

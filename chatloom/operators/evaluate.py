@@ -74,6 +74,41 @@ def retrieval_metrics(retrieved: DataFrame, gold: DataFrame, query: str, key: st
     return counts.select(query, "n_retrieved", "n_gold", rate("n_gold").alias("recall"), rate("n_retrieved").alias("precision"))
 
 
+def answer_metrics(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(metric, value, sample_size) over answered questions, each the mean over the questions that have what it needs.
+
+    rows, one a question, arrays of ids: gold_media, answer_media, retrieved_media (in order), gold_evidence, context_ids, gold_bridges,
+    bridges; and constraints, an array of booleans. exact_media_accuracy: the answer's media are the gold ones; media_recall_at_k and
+    evidence_recall: the share of gold ids found; context_precision: the share of context that is gold evidence; bridge_recall; constraint_satisfaction: the share that hold.
+    """
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array())) > 0
+    share = lambda own, found, of: F.when(some(of), F.size(F.array_intersect(own, F.coalesce(found, F.array()))) / F.size(F.array_distinct(F.col(of))))
+    col = F.col
+    held = F.filter("constraints", lambda x: F.coalesce(x, F.lit(False)))
+    metrics = {
+        "exact_media_accuracy": F.when(some("gold_media"), (F.array_sort(F.array_distinct("gold_media")) == F.array_sort(F.array_distinct(F.coalesce(col("answer_media"), F.array())))).cast("double")),
+        "media_recall_at_k": share(col("gold_media"), F.slice("retrieved_media", 1, k), "gold_media"),
+        "evidence_recall": share(col("gold_evidence"), col("context_ids"), "gold_evidence"),
+        "context_precision": share(col("context_ids"), col("gold_evidence"), "context_ids"),
+        "bridge_recall": share(col("gold_bridges"), col("bridges"), "gold_bridges"),
+        "constraint_satisfaction": F.when(some("constraints"), F.size(held) / F.size("constraints")),
+    }
+    one = rows.select(*(v.alias(m) for m, v in metrics.items())).agg(*(F.struct(F.round(F.avg(m), 6).alias("value"), F.count(m).alias("n")).alias(m) for m in metrics))
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}.value").alias("value"), F.col(f"{m}.n").alias("sample_size")) for m in metrics))
+    return one.select(F.explode(each).alias("x")).select("x.*")
+
+
+#: Where a question can be lost, in order.
+FAILURES = ("retrieval_miss", "selection_miss", "expansion_miss", "context_miss", "reasoning_miss")
+
+
+def failure_counts(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """(stage, n) of every stage, 0 where nothing was lost: the first of the five flags (found, kept, reached, with its evidence, answered) that does not hold."""
+    lost = rows.select(failure_stage(list(zip(flags, FAILURES, strict=True))).alias("stage")).filter("stage is not null").groupBy("stage").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(x,) for x in FAILURES], "stage string")
+    return every.join(lost, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def normalised_answer(text: Column) -> Column:
     """An answer without case, punctuation and articles, for the exact pass before any judge."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", " "), r"\b(a|an|the)\b", " ")

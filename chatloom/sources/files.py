@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SESSION = "session_id string, timeline_date string, dialogue array<struct<role:string,content:struct<text:string,image:string>>>"
@@ -71,9 +71,17 @@ def encoded(rows: DataFrame, encode: Callable[[Iterator], Iterator], schema: str
     return spark.read.parquet(*(f"{out}/{k}" for k in range(batches)))
 
 
-def write_jsonl(rows: DataFrame, order: list[str], path: str) -> None:
-    """An export in one file: rows in order, keys sorted."""
-    rows.select(*sorted(rows.columns)).orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+def canonical_json(columns: list[str]) -> Column:
+    """A row as JSON with sorted keys; nulls are kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def write_jsonl(rows: DataFrame, order: list[str], path: str, files: int | None = 1) -> None:
+    """An export of rows in order, keys sorted, nulls kept: in one file, or in ranges of the order whose files follow by name (files=None lets Spark choose how many)."""
+    lines = rows.select(canonical_json(rows.columns).alias("value"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(order)))
+    by = [f"_{k}" for k in range(len(order))]
+    ranged = lines.orderBy(*by) if files is None else lines.repartitionByRange(files, *by).sortWithinPartitions(*by) if files > 1 else lines.orderBy(*by).coalesce(1)
+    ranged.select("value").write.mode("overwrite").text(path)
 
 
 def lookup(spark: SparkSession, path: str, top: str, key: str, value: str) -> DataFrame:

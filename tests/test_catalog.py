@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from chatloom.plans import catalog, catalog_commands, catalog_gates, catalog_hierarchy, catalog_more, catalog_search, catalog_vectors  # noqa: F401
+from chatloom.plans import catalog, catalog_answers, catalog_commands, catalog_gates, catalog_hierarchy, catalog_more, catalog_search, catalog_vectors  # noqa: F401
 from tests.compare import same_rows
 
 
