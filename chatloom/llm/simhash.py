@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from chatloom.llm.common import documents, per_slice
 from chatloom.operators.graph import connected_components
@@ -197,12 +198,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def one_of_each_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids, all columns; of several with one id the one with the smallest text, then the smallest other columns."""
+    """The rows of these ids, all columns; of several with one id the one with the smallest text, then the smallest other columns (those that Spark cannot order, such as maps, as JSON)."""
     found = rows.join(ids, "doc_id", "left_semi")
-    first = found.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rows.columns if c not in ("doc_id", "text")))).alias("_row"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    ordered = [F.to_json(F.struct(c)) if _has_map(rows.schema[c].dataType) else F.col(c) for c in others]
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.struct("text", *ordered)).alias("_row"))
     return first.select("doc_id", "_row.*").select(rows.columns)
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, (MapType, VariantType)):
+        return True
+    return any(_has_map(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
 def without_near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows, all columns, of the smallest doc_id of each group; rows without a doc_id stay; of rows with one doc_id that with the smallest text."""
     found = near_duplicates(docs, "doc_id", "text", width, radius)
