@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import batched
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import bounded_batches, documents, slices
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a task remembers, and the longest of them.
+#: Pieces that a task remembers twice over, and the longest of them.
 REMEMBERED, LONGEST = 1 << 19, 64
 #: Fragments up to so many bytes are merged by looking through all pairs, longer ones with a heap.
 SHORT = 32
@@ -51,16 +52,30 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _unassigned() -> str:
-    """A character class of what Unicode 15.1 or this Python leaves unassigned."""
+def _ranges(wanted: Callable[[str], bool], first: int, stop: int) -> str:
+    """The code points from first to stop that are wanted, as ranges of a character class."""
     out, start = [], None
-    for c in range(0x378, 0x110001):
-        if c < 0x110000 and unicodedata.category(chr(c)) == "Cn":
+    for c in range(first, stop + 1):
+        if c < stop and wanted(chr(c)):
             start = c if start is None else start
         elif start is not None:
             out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
-    return f"[{''.join(out)}]"
+    return "".join(out)
+
+
+#: Below this code point all characters are assigned, and few enough for classes spelled out.
+LATE = 0x378
+
+
+def _early(pattern: str) -> re.Pattern:
+    """The split pattern for texts without a character from LATE on, in the plain engine, which knows no classes of Unicode."""
+    kind = {x: _ranges(lambda c, x=x: unicodedata.category(c)[0] == x, 0, LATE) for x in "LN"}
+    space = _ranges(lambda c: bool(regex.match(r"\s", c)), 0, LATE)
+    inside = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{kind['L']}{kind['N']}]")
+    for name, chars in ((r"\p{L}", kind["L"]), (r"\p{N}", kind["N"]), (r"\s", space)):
+        inside = inside.replace(name, f"[{chars}]")
+    return re.compile(inside.replace(r"\S", f"[^{space}]"))
 
 
 class Codec:
@@ -77,11 +92,13 @@ class Codec:
         raw = lambda token: bytes(byte[x] for x in token)
         ids = {raw(t): k for t, k in spec["model"]["vocab"].items()}
         self.single = [ids[bytes([b])] for b in range(256)]
-        #: (left id, right id) -> (rank, id of both)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: (left id, right id) -> rank, and the id of both by rank.
+        self.merges: dict[tuple[int, int], int] = {}
+        self.both: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[ids[a], ids[b]] = rank, ids[a + b]
+            self.merges[ids[a], ids[b]] = rank
+            self.both.append(ids[a + b])
         #: 1 where the two bytes stand side by side in some token.
         self.inside = bytearray(1 << 16)
         for token in ids:
@@ -91,18 +108,19 @@ class Codec:
         self.bytes = {k: t for t, k in ids.items()} | {k: t.encode() for t, k in self.added.items()}
         self.marks = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.late, self.unassigned = regex.compile("[͸-\U0010ffff]"), regex.compile(_unassigned())
+        self.early = _early(public_tokenizers.PATTERN)
+        unassigned = _ranges(lambda c: unicodedata.category(c) == "Cn", LATE, 0x110000)
+        self.late, self.unassigned = re.compile(f"[{chr(LATE)}-\U0010ffff]"), regex.compile(f"[{unassigned}]")
         self.splitter = tokenizers.Tokenizer.from_file(path).pre_tokenizer
+        #: Pieces seen of late, and those seen before them.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut wherever two bytes never meet inside a token."""
-        inside, out, start = self.inside, [], 0
-        for k in range(1, len(piece)):
-            if not inside[piece[k - 1] << 8 | piece[k]]:
-                out.append(piece[start:k])
-                start = k
-        return [*out, piece[start:]]
+        inside = self.inside
+        cuts = [k for k, (a, b) in enumerate(pairwise(piece), 1) if not inside[a << 8 | b]]
+        return [piece[a:b] for a, b in pairwise([0, *cuts, len(piece)])] if cuts else [piece]
 
     def merged(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the pair of least rank, the leftmost of equals, is merged until none is left."""
@@ -110,56 +128,59 @@ class Codec:
         return self._by_scan(ids) if len(ids) <= SHORT else self._by_heap(ids)
 
     def _by_scan(self, ids: list[int]) -> list[int]:
-        merge, none = self.merges.get, (1 << 31, -1)
-        pairs = [merge(x, none) for x in zip(ids, ids[1:], strict=False)]
-        while pairs and (best := min(pairs)) is not none:
-            k = pairs.index(best)
-            ids[k : k + 2] = best[1:]
-            del pairs[k]
-            if k < len(pairs):
-                pairs[k] = merge((ids[k], ids[k + 1]), none)
+        merge, both, none = self.merges.get, self.both, len(self.both)
+        ranks = [merge(x, none) for x in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k] = own = both[best]
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = merge((own, ids[k + 1]), none)
             if k:
-                pairs[k - 1] = merge((ids[k - 1], ids[k]), none)
+                ranks[k - 1] = merge((ids[k - 1], own), none)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
-        merges, n = self.merges, len(ids)
-        heap = [(m[0], k, m[1], k + 1) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(pair))]
+        merge, both, n = self.merges.get, self.both, len(ids)
+        heap = [(rank, k, k + 1) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (rank := merge(pair)) is not None]
         heapq.heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, left, both, right = heapq.heappop(heap)
+            rank, left, right = heapq.heappop(heap)
             # Ids at both places must still be those that were pushed; a place merged away holds -1.
-            if ids[left] < 0 or after[left] != right or merges.get((ids[left], ids[right]), (0, -1))[1] != both:
+            if ids[left] < 0 or after[left] != right or merge((ids[left], ids[right])) != rank:
                 continue
-            ids[left], ids[right] = both, -1
+            ids[left], ids[right] = both[rank], -1
             after[left] = nxt = after[right]
             if nxt < n:
                 before[nxt] = left
-                if m := merges.get((both, ids[nxt])):
-                    heapq.heappush(heap, (m[0], left, m[1], nxt))
-            if (prev := before[left]) >= 0 and (m := merges.get((ids[prev], both))):
-                heapq.heappush(heap, (m[0], prev, m[1], left))
+                if (more := merge((ids[left], ids[nxt]))) is not None:
+                    heapq.heappush(heap, (more, left, nxt))
+            if (prev := before[left]) >= 0 and (more := merge((ids[prev], ids[left]))) is not None:
+                heapq.heappush(heap, (more, prev, left))
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one piece as numbers of 32 bits."""
-        raw = piece.encode()
-        found = array("i", [x for f in self.fragments(raw) for x in self.merged(f)]).tobytes()
+        if (found := self.older.get(piece)) is None:
+            found = array("i", [x for f in self.fragments(piece.encode()) for x in self.merged(f)]).tobytes()
         if len(piece) <= LONGEST:
             if len(self.memory) >= REMEMBERED:
+                self.older = dict(self.memory)
                 self.memory.clear()
             self.memory[piece] = found
         return found
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text without added tokens, in runs."""
-        if self.late.search(text) and self.unassigned.search(text):
+        late = self.late.search(text)
+        pattern = self.pattern if late else self.early
+        if late and self.unassigned.search(text):
             yield [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         elif len(text) <= 16 * RUN:
-            yield self.pattern.findall(text)
+            yield pattern.findall(text)
         else:
-            yield from map(list, batched((m.group() for m in self.pattern.finditer(text)), RUN))
+            yield from map(list, batched((m.group() for m in pattern.finditer(text)), RUN))
 
     def encode(self, text: str) -> np.ndarray:
         out, at, known = [], 0, self.memory
