@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ META_PREAMBLE = (
 )
 STROKES = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i"}
 CJK = r"[㐀-鿿]"
+#: Unicode's space separators, which are cut off both ends of a text.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def channel_id(path: Column) -> Column:
@@ -53,11 +55,24 @@ def substituted(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def squashed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "), F.lit(SPACES))
+
+
+@cache
+def _capitals() -> dict[str, str]:
+    """Capital of each letter that has one of a single code point: where upper case is longer, title case or none; the capital of ß is \u1e9e."""
+    out = {"ß": "\u1e9e"}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))):
+        big = c.upper() if len(c.upper()) == 1 else c.title()
+        if big != c and len(big) == 1:
+            out[c] = big
+    return out
 
 
 def capitalised(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+    """The first code point as its capital, which is one code point, whatever the version of the JVM."""
+    table = _capitals()
+    return F.concat(F.translate(F.substring(text, 1, 1), "".join(table), "".join(table.values())), F.substring(text, 2, 1 << 30))
 
 
 def matches(text: Column, patterns: tuple[str, ...]) -> Column:
