@@ -2,7 +2,8 @@
 
 Pairs of vectors are compared tile by tile. Each vector belongs to the cell of its nearest pivot and lies in a tile
 of vectors of about the same angle to it, so the triangle inequality bounds every angle between two tiles from below; pairs of tiles
-that cannot reach the wanted cosine are never brought together. Counts over all pairs are taken inside the tiles. Fingerprints within a
+that cannot reach the wanted cosine are never compared. Tiles travel in blocks, of which there are STRIPES at most until a block is full, so what is
+shuffled follows the rows and not their square. Counts over all pairs, and the components that pairs link, are taken inside the tasks. Fingerprints within a
 small distance agree in some bands whole, by which they are joined; for large distances, where such bands say nothing, tiles are compared.
 """
 
@@ -14,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ from chatloom.operators.windows import global_rank
 from chatloom.session import staged
 
 BLOCK = 2000
+#: Tiles of a block at least and at most, and blocks wanted: each row is sent to as many tasks.
+LEAST_TILES, MOST_TILES, STRIPES = 4, 128, 24
+#: Rows of a tile that are compared at once, so that the cosines stay in a core's cache.
+SLAB = 128
 #: Pivots at most, so that pairs of cells stay few, and rows that pivots are chosen from.
 PIVOTS, PIVOT_ROWS = 256, 4096
 #: Copies of a fingerprint at most, bits that its bands must hold, and fingerprints wanted for each value of them.
@@ -30,7 +36,10 @@ SLACK = 1e-6
 
 
 def _unit(values) -> np.ndarray:
-    m = np.array(values.to_pylist(), np.float64)
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    flat, n = values.flatten(), len(values)
+    even = n and not values.null_count and not flat.null_count and (pa.compute.list_value_length(values).unique().to_pylist() == [len(flat) // n])
+    m = np.asarray(flat).astype(np.float64).reshape(n, -1) if even else np.array(values.to_pylist(), np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else np.zeros((0, 1))
 
 
@@ -73,43 +82,145 @@ def tiles(rows: DataFrame, key: str, vector: str, least: float, extra: tuple[str
     return placed.drop("place", "angle", "cell"), pairs.select(F.col("tile").alias("x"), "y")
 
 
-def over_pairs(rows: DataFrame, key: str, vector: str, least: float, reduce: Callable[..., pa.Table], schema: str, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """What reduce(ids, others, columns, columns of others, cosines, asked) makes of each pair of tiles that could reach `least`.
-
-    asked marks the pairs to count: each pair of rows once, with the smaller id first or second alike.
-    """
+def blocks(rows: DataFrame, key: str, vector: str, least: float, extra: tuple[str, ...] = (), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(tile, id, v, extra, block) and the pairs of blocks (a, b, meet), a <= b, with the pairs of their tiles that could reach `least`."""
     dealt, pairs = tiles(rows, key, vector, least, extra, block)
-    pairs = staged(pairs)
-    both = pairs.select("x", "y", F.col("x").alias("tile")).unionByName(pairs.filter("x <> y").select("x", "y", F.col("y").alias("tile")))
-
-    def run(group: pa.Table) -> pa.Table:
-        tile, ids = np.asarray(group.column("tile")), np.asarray(group.column("id"))
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        left, right = np.flatnonzero(tile == x), np.flatnonzero(tile == y)
-        m = _unit(group.column("v").combine_chunks())
-        own = {c: np.array(group.column(c).to_pylist()) for c in extra}
-        asked = ids[left][:, None] < ids[right][None, :] if x == y else ids[left][:, None] != ids[right][None, :]
-        return reduce(ids[left], ids[right], {c: v[left] for c, v in own.items()}, {c: v[right] for c, v in own.items()}, m[left] @ m[right].T, asked)
-
-    return dealt.join(both, "tile").groupBy("x", "y").applyInArrow(run, schema)
+    held = staged(global_rank(dealt.select("tile").distinct(), ["tile"], "_place"))
+    per = max(LEAST_TILES, min(MOST_TILES, -(-held.count() // STRIPES)))
+    of = held.select("tile", F.floor(F.col("_place") / per).cast("int").alias("block"))
+    side = lambda c: of.select(F.col("tile").alias(c), F.col("block").alias(f"_{c}"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+    return staged(dealt.join(of, "tile")), staged(met.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("meet")))
+
+
+def over_blocks(dealt: DataFrame, met: DataFrame, reduce: Callable[[dict[str, np.ndarray], Iterator[tuple]], pa.Table], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What reduce(columns of all rows, compared) makes of each pair of blocks; see over_pairs()."""
+    both = met.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    sent = dealt.select("tile", "id", "v", "block", *extra).join(both, "block").drop("block")
+    wanted = met.select(F.col("a").alias("c"), F.col("b").alias("d"), "meet")
+
+    def run(group: pa.Table, wanted: pa.Table) -> pa.Table:
+        group = group.sort_by([("tile", "ascending"), ("id", "ascending")]) if group.num_rows else group
+        return reduce({c: np.asarray(group.column(c)) for c in extra}, _compared(group, wanted, extra))
+
+    return sent.groupBy("a", "b").cogroup(wanted.groupBy("c", "d")).applyInArrow(run, schema)
+
+
+def _compared(group: pa.Table, wanted: pa.Table, extra: tuple[str, ...]) -> Iterator[tuple]:
+    """Pairs of tiles in runs of SLAB rows of the first."""
+    tile, ids = np.asarray(group.column("tile")), np.asarray(group.column("id"))
+    own = {c: np.asarray(group.column(c)) for c in extra}
+    first = np.flatnonzero(np.diff(tile, prepend=-1) != 0)
+    at = dict(zip(tile[first].tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(tile)]), strict=True))
+    vectors, meet = group.column("v"), [p for x in wanted.column("meet").to_pylist() for p in x]
+    cut = lambda s: _unit(vectors.slice(s.start, s.stop - s.start))
+    last, left = None, np.zeros((0, 1))
+    for x, y in sorted((p["x"], p["y"]) for p in meet):
+        if x != last:
+            last, left = x, cut(at[x])
+        b, right = at[y], None
+        apart = x != y and not np.isin(ids[at[x]], ids[b]).any()
+        for k in range(0, len(left), SLAB):
+            a = slice(at[x].start + k, min(at[x].start + k + SLAB, at[x].stop))
+
+            def cosines(part=left[k : k + SLAB], b=b) -> np.ndarray:
+                nonlocal right
+                right = cut(b).T if right is None else right
+                return part @ right
+
+            asked = None if apart else ids[a][:, None] < ids[b][None, :] if x == y else ids[a][:, None] != ids[b][None, :]
+            yield ids[a], ids[b], {c: v[a] for c, v in own.items()}, {c: v[b] for c, v in own.items()}, cosines, asked
+
+
+def over_pairs(rows: DataFrame, key: str, vector: str, least: float, reduce: Callable[[dict[str, np.ndarray], Iterator[tuple]], pa.Table], schema: str, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """What reduce(columns of all rows, compared) makes of each pair of blocks of tiles.
+
+    compared gives (ids, others, columns, columns of others, cosines(), asked) of some rows against those of a tile that could reach `least`.
+    asked marks the pairs to count, each pair of rows once, with the smaller id first or second alike; it is None where all are.
+    """
+    return over_blocks(*blocks(rows, key, vector, least, extra, block), reduce, schema, extra)
 
 
 def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
     """(left_id, right_id, cosine) of all pairs left < right with a cosine of `least` or more. Ids are unique."""
 
-    def near(a, b, _, __, dots, asked) -> pa.Table:
-        i, j = np.nonzero(asked & (dots >= least))
-        return pa.table({"left_id": np.minimum(a[i], b[j]), "right_id": np.maximum(a[i], b[j]), "cosine": pa.array(dots[i, j], pa.float64())})
+    def near(_held, compared) -> pa.Table:
+        out = [pa.table({"left_id": pa.array([], pa.int64()), "right_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})]
+        for a, b, _, __, cosines, asked in compared:
+            dots = cosines()
+            i, j = np.nonzero(dots >= least if asked is None else asked & (dots >= least))
+            out.append(pa.table({"left_id": np.minimum(a[i], b[j]), "right_id": np.maximum(a[i], b[j]), "cosine": pa.array(dots[i, j], pa.float64())}))
+        return pa.concat_tables(out)
 
     return over_pairs(rows, key, vector, least, near, "left_id long, right_id long, cosine double", (), block)
 
 
+class _Parts:
+    """Components of the values seen, each under its smallest; a value is a part of its own until it is linked."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.of = np.arange(len(self.values))
+
+    def place(self, values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.values, values)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.of[i], self.of[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            while (up := self.of[self.of] != self.of).any():
+                self.of[up] = self.of[self.of[up]]
+
+
+def near_links(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+    """(left_id, right_id): links that join the same rows as all pairs with a cosine of `least` or more do, and name no others.
+
+    Blocks of rows find their own components first. Then blocks meet by these: two tiles that are one component by then are not compared,
+    and a task gives back one link for each component that it has joined to another, not every pair.
+    """
+    dealt, met = blocks(rows, key, vector, least, (), block)
+
+    def links(held, compared) -> pa.Table:
+        parts = _Parts(held["part"])
+        for _, __, own, other, cosines, asked in compared:
+            i, j = parts.place(own["part"]), parts.place(other["part"])
+            first = parts.of[i[0]]
+            if (parts.of[i] == first).all() and (parts.of[j] == first).all():
+                continue
+            near = cosines() >= least
+            a, b = np.nonzero(near if asked is None else asked & near)
+            parts.link(i[a], j[b])
+        joined = np.flatnonzero(parts.of != np.arange(len(parts.of)))
+        return pa.table({"left_id": pa.array(parts.values[parts.of[joined]], pa.int64()), "right_id": pa.array(parts.values[joined], pa.int64())})
+
+    schema = "left_id long, right_id long"
+    inside = staged(over_blocks(dealt.withColumn("part", F.col("id")), met.filter("a = b"), links, schema, ("part",)))
+    parted = dealt.join(inside.select(F.col("right_id").alias("id"), F.col("left_id").alias("_part")), "id", "left").withColumn("part", F.coalesce("_part", "id"))
+    return inside.unionByName(over_blocks(parted, met.filter("a < b"), links, schema, ("part",)))
+
+
+def _binned(dots: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each cosine over [-1, 1], the last one closed; dots are overwritten."""
+    np.clip(dots, -1, 1, out=dots)
+    dots += 1
+    dots *= bins / 2
+    at = dots.astype(np.int64)
+    return np.minimum(at, bins - 1, out=at)
+
+
 def cosine_histogram(rows: DataFrame, key: str, vector: str, bins: int = 20, block: int = BLOCK) -> DataFrame:
     """(bin, n) over all pairs, counted in the tiles; the last bin is closed, empty bins are 0."""
 
-    def count(a, b, _, __, dots, asked) -> pa.Table:
-        at = np.minimum(np.floor((np.clip(dots[asked], -1, 1) + 1) * (bins / 2)), bins - 1).astype(np.int64)
-        n = np.bincount(at, minlength=bins)
+    def count(_held, compared) -> pa.Table:
+        n = np.zeros(bins, np.int64)
+        for _, __, ___, ____, cosines, asked in compared:
+            at = _binned(cosines(), bins)
+            n += np.bincount(at.ravel() if asked is None else at[asked], minlength=bins)
         return pa.table({"bin": pa.array(np.flatnonzero(n), pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
 
     counts = over_pairs(rows, key, vector, -1.0, count, "bin long, n long", (), block).groupBy("bin").agg(F.sum("n").alias("n"))
@@ -123,14 +234,24 @@ def pool_counts(rows: DataFrame, key: str, vector: str, pool: Callable[[dict, di
     and (1, m). A pool without a pair at any threshold is EMPTY_STRUCTURAL_POOL.
     """
 
-    def count(a, b, own, other, dots, asked) -> pa.Table:
-        where = np.broadcast_to(pool({c: v[:, None] for c, v in own.items()}, {c: v[None, :] for c, v in other.items()}), dots.shape)
-        out = []
-        for k in range(len(names)):
-            found = dots[asked & (where == k)]
-            at = np.minimum(np.floor((np.clip(found, -1, 1) + 1) * (bins / 2)), bins - 1).astype(np.int64)
-            out.append((k, len(found), [int((found >= t).sum()) for t in thresholds], np.bincount(at, minlength=bins).tolist()))
-        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "pairs": pa.array([x[1] for x in out], pa.int64()), "above": pa.array([x[2] for x in out], pa.list_(pa.int64())), "bins": pa.array([x[3] for x in out], pa.list_(pa.int64()))})
+    def count(_held, compared) -> pa.Table:
+        n, above = np.zeros((len(names) + 1, bins), np.int64), np.zeros((len(thresholds), len(names) + 1), np.int64)
+        for _, __, own, other, cosines, asked in compared:
+            dots = cosines()
+            where = np.broadcast_to(pool({c: v[:, None] for c, v in own.items()}, {c: v[None, :] for c, v in other.items()}), dots.shape)
+            where = np.where(where < 0, len(names), where)  # those of no pool are counted last
+            if asked is not None:
+                where[~asked] = len(names)
+            high = dots >= min(thresholds)
+            near, in_pool = dots[high], where[high]
+            for k, t in enumerate(thresholds):
+                above[k] += np.bincount(in_pool[near >= t], minlength=len(names) + 1)
+            at = _binned(dots, bins)
+            where *= bins
+            at += where
+            n += np.bincount(at.ravel(), minlength=n.size).reshape(n.shape)
+        own = range(len(names))
+        return pa.table({"k": pa.array(own, pa.int32()), "pairs": pa.array([int(n[k].sum()) for k in own], pa.int64()), "above": pa.array([above[:, k].tolist() for k in own], pa.list_(pa.int64())), "bins": pa.array([n[k].tolist() for k in own], pa.list_(pa.int64()))})
 
     counts = over_pairs(rows, key, vector, -1.0, count, "k int, pairs long, above array<long>, bins array<long>", extra, block)
     each = lambda c, n: F.array(*(F.coalesce(F.sum(F.col(c)[j]), F.lit(0)) for j in range(n)))
@@ -144,10 +265,16 @@ def pool_counts(rows: DataFrame, key: str, vector: str, pool: Callable[[dict, di
 def measure_counts(rows: DataFrame, key: str, vector: str, bits: str, least: float, most: int, block: int = BLOCK) -> DataFrame:
     """(cosine, phash, both, edges): how many pairs each measure finds, counted in the tiles."""
 
-    def count(a, b, own, other, dots, asked) -> pa.Table:
-        far = np.bitwise_count(own[bits].astype(np.int64).view(np.uint64)[:, None] ^ other[bits].astype(np.int64).view(np.uint64)[None, :])
-        c, h = asked & (dots >= least), asked & (far <= most)
-        return pa.table({name: pa.array([int(x.sum())], pa.int64()) for name, x in (("cosine", c), ("phash", h), ("both", c & h), ("edges", c | h))})
+    def count(_held, compared) -> pa.Table:
+        n = np.zeros(4, np.int64)
+        for _, __, own, other, cosines, asked in compared:
+            h = np.bitwise_count(own[bits].astype(np.int64).view(np.uint64)[:, None] ^ other[bits].astype(np.int64).view(np.uint64)[None, :]) <= most
+            c = cosines() >= least
+            if asked is not None:
+                c &= asked
+                h &= asked
+            n += [np.count_nonzero(x) for x in (c, h, c & h, c | h)]
+        return pa.table({name: pa.array([int(x)], pa.int64()) for name, x in zip(("cosine", "phash", "both", "edges"), n, strict=True)})
 
     counts = over_pairs(rows, key, vector, -1.0, count, "cosine long, phash long, both long, edges long", (bits,), block)
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cosine", "phash", "both", "edges")))
