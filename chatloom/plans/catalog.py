@@ -432,6 +432,11 @@ def _edges(spark, sf_dir) -> DataFrame:
     return similarity.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COSINE)
 
 
+def _links(spark, sf_dir) -> DataFrame:
+    """What joins the same vectors as _edges() does."""
+    return similarity.near_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COSINE)
+
+
 @query(_EDGES + " select left_id, right_id, round(cosine, 6) cosine from edges")
 def near_dup_edges(spark, sf_dir):
     return _edges(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
@@ -447,12 +452,12 @@ _REACH = _EDGES.replace("with v", "with recursive v") + ", s as (select left_id
 
 @query(_REACH + " select * from comp")
 def near_dup_components(spark, sf_dir):
-    return connected_components(_edges(spark, sf_dir), "left_id", "right_id")
+    return connected_components(_links(spark, sf_dir), "left_id", "right_id")
 
 
 @query(_REACH + ", sz as (select component, count(*) size from comp group by 1) select size::bigint size, count(*)::bigint n from sz group by 1")
 def component_sizes(spark, sf_dir):
-    return connected_components(_edges(spark, sf_dir), "left_id", "right_id").groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    return connected_components(_links(spark, sf_dir), "left_id", "right_id").groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
 @query(_EDGES + ", p as (select *, case when a.label <> b.label then 'cross_channel' when a.vec_id // 20 = b.vec_id // 20 then 'intra_session' else 'cross_session' end pool from ed join embeddings a on a.vec_id = left_id join embeddings b on b.vec_id = right_id) select pool, count(*)::bigint pairs, count(*) filter (cosine >= 0.2)::bigint ge_20, count(*) filter (cosine >= 0.3)::bigint ge_30, count(*) filter (cosine >= 0.4)::bigint ge_40 from p group by 1")

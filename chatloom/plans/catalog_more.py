@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.operators import commands, context, evaluate, gates, lexical, normalize, scope, similarity
-from chatloom.plans.catalog import COSINE, _BITS, _BM25, _CHUNKS, _EDGES, _GOLD, _GRANTS, _REACH, HAMMING, _edges, _grants, _judged, _placed, query, table
+from chatloom.plans.catalog import COSINE, _BITS, _BM25, _CHUNKS, _EDGES, _GOLD, _GRANTS, _REACH, HAMMING, _grants, _judged, _links, _placed, query, table
 
 # --- identifiers and predicates ------------------------------------------------------------------
 
@@ -135,7 +135,7 @@ def splits_disjoint(spark, sf_dir):
 
 @query(_REACH + ", k as (select component, row_number() over (order by component) - 1 i from (select distinct component from comp)) select node, component, 'comp_' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') || '_' || component component_id from comp join k using (component)")
 def group_components(spark, sf_dir):
-    return evaluate.group_components(_edges(spark, sf_dir), "left_id", "right_id")
+    return evaluate.group_components(_links(spark, sf_dir), "left_id", "right_id")
 
 
 # --- retrieval gates -------------------------------------------------------------------------------

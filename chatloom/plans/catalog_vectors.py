@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import similarity
 from chatloom.operators.graph import connected_components
-from chatloom.plans.catalog import _BITS, _EDGES, _REACH, COSINE, _edges, query, table
+from chatloom.plans.catalog import _BITS, _EDGES, _REACH, COSINE, _links, query, table
 
 NEAR_BITS = 8
 
@@ -41,6 +41,6 @@ def distractor_pools(spark, sf_dir):
 @query(_REACH + ", sz as (select count(*) size from comp group by component union all select 1 from embeddings where vec_id not in (select node from comp)) select size::bigint size, count(*)::bigint n from sz group by 1")
 def cluster_histogram(spark, sf_dir):
     """Sizes of near-duplicate clusters, vectors without a near one counted as clusters of one."""
-    parts = connected_components(_edges(spark, sf_dir), "left_id", "right_id")
+    parts = connected_components(_links(spark, sf_dir), "left_id", "right_id")
     every = table(spark, sf_dir, "embeddings").select("vec_id").join(parts, F.col("vec_id") == F.col("node"), "left")
     return every.groupBy(F.coalesce("component", "vec_id").alias("c")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
