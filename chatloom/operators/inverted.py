@@ -1,6 +1,6 @@
 """BM25 by channel over a kept inverted index: posting blocks with bounds, document frequencies as signed deltas.
 
-A segment is what one task has read of one channel, SEGMENT documents at most. Its postings are rows
+A segment is what one task has read of one channel, SEGMENT documents and about HELD postings at most. Its postings are rows
 (channel, segment, term, block) with gap-coded places of documents and term frequencies; a block spans SPAN
 places and carries its largest frequency and least length, from which the bound of its scores follows
 for any statistics of the channel. A search sends every block of a wanted term once to its segment, where all
@@ -15,6 +15,7 @@ channel, and a removed key is not indexed again.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count, pairwise, repeat
@@ -31,6 +32,8 @@ from chatloom.operators.lexical import B, K1
 from chatloom.session import exists, staged
 
 SEGMENT, SPAN = 1 << 12, 128
+#: Postings that a task holds of its open segments, and rows of documents that it turns into words at once.
+HELD, READ = 1 << 20, 256
 #: Blocks of an Arrow batch.
 ROWS = 1 << 14
 #: Terms of queries that are broadcast at once; more are answered in further passes.
@@ -62,16 +65,19 @@ class _Segment:
     """Documents of one channel in the order of reading, and their postings as flat lists."""
 
     def __init__(self):
-        self.keys, self.lens, self.terms, self.places, self.tfs = [], [], [], [], []
+        self.keys, self.lens = [], []
+        self.terms, self.places, self.tfs = array("i"), array("i"), array("i")
         self.number: defaultdict[str, int] = defaultdict(count().__next__)
 
-    def add(self, key: int, words: list[str], only: frozenset | None) -> None:
+    def add(self, key: int, words: list[str], only: frozenset | None) -> int:
+        """How many postings it has added."""
         found = Counter(words if only is None else filter(only.__contains__, words))
-        self.terms += map(self.number.__getitem__, found)
-        self.tfs += found.values()
-        self.places += repeat(len(self.keys), len(found))
+        self.terms.extend(map(self.number.__getitem__, found))
+        self.tfs.extend(found.values())
+        self.places.extend(repeat(len(self.keys), len(found)))
         self.keys.append(key)
         self.lens.append(len(words))
+        return len(found)
 
     def rows(self, channel: str, segment: int) -> Iterator[pa.RecordBatch]:
         """The segment's documents, under the empty term, then its blocks."""
@@ -113,14 +119,14 @@ def segments(docs: DataFrame, channel: str | None, key: str, text: str, only: fr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: defaultdict[str, _Segment] = defaultdict(_Segment)
-        rows = n = 0
-        for batch in batches:
-            for name, k, words in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                held[name].add(k, scorer.terms(words or ""), only)
+        rows = n = postings = 0
+        for part in (batch.slice(at, READ) for batch in batches for at in range(0, batch.num_rows, READ)):
+            for name, k, words in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                postings += held[name].add(k, scorer.terms(words or ""), only)
                 rows += 1
-                if rows == SEGMENT:
+                if rows == SEGMENT or postings >= HELD:
                     yield from sent(held, n)
-                    rows, n = 0, n + len(held)
+                    rows, postings, n = 0, 0, n + len(held)
                     held.clear()
         yield from sent(held, n)
 
