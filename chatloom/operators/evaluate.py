@@ -20,6 +20,8 @@ from chatloom.session import staged
 
 #: Failed states of a split search that are kept at most.
 REMEMBERED = 1 << 20
+#: A word boundary of ASCII words, as in the SQL; that of the JVM depends on its version.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def hit_rates(top1: DataFrame, gold: DataFrame, query: str, key: str, stratum: str) -> DataFrame:
@@ -301,23 +303,40 @@ def containing(docs: DataFrame, items: DataFrame, key: str, text: str, item: str
     return pairs.join(docs.select(key, F.col(text).alias("_text")), key).filter(F.contains("_text", "_item")).select(item, key).distinct()
 
 
+def holding(docs: DataFrame, pairs: DataFrame, key: str, text: str, item: str, item_text: str, most: int = inverted.QUERY_TERMS) -> DataFrame:
+    """(item, key) of those pairs whose document holds the item's whole text, whatever its length; pairs: (item, item_text, key).
+
+    The keys of up to `most` pairs are broadcast (checked), so of the documents only theirs are moved.
+    """
+    pairs = staged(pairs.select(item, F.col(item_text).alias("_item"), key).distinct())
+    keys = pairs.select(key).distinct()
+    named = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(keys) if pairs.count() <= most else keys, key, "left_semi")
+    return pairs.join(named, key).filter(F.contains("_text", "_item")).select(item, key).distinct()
+
+
 def anti_leak_gate(docs: DataFrame, gold: DataFrame, key: str, text: str, query: str, query_text: str, rewrites: list[tuple[str, str]], control_every: int = 20, scorer: inverted.Scorer = inverted.LIBRARY) -> DataFrame:
     """(query, stratum, outcome, initial_hit, final_hit, released): what the gate does with each gold row.
 
-    gold: (query, query_text, stratum, evidence array). A row leaks if its best BM25 hit is among its evidence. Every
-    control_every-th row in id order is a control and stays. Other leaking rows are rewritten by the rules and asked again: `rewritten` if
-    the new question no longer leaks, else `unrewritable` with the old question; rows without a leak are `clean`.
+    gold: (query, query_text, stratum, evidence array); without an evidence column every document that holds a row's whole text is its
+    evidence, and the best hits alone are looked at. A row leaks if its best BM25 hit is among its evidence. Every
+    control_every-th row in id order, rows without an id last, is a control and stays. Other leaking rows are rewritten by the rules and asked again: `rewritten` if
+    the new question no longer leaks, else `unrewritable` with the old question; rows without a leak are `clean`. In the rules \\b is the edge of a run of [A-Za-z0-9_].
     """
-    rows = staged(global_rank(gold.select(query, query_text, "stratum", "evidence"), [query], "_place"))
+    given = "evidence" in gold.columns
+    asked = gold.select(query, query_text, "stratum", *["evidence"] * given, F.col(query).isNull().alias("_none"))
+    rows = staged(global_rank(asked, ["_none", query], "_place").drop("_none"))
 
-    def leaking(asked: DataFrame, column: str) -> DataFrame:
+    def leaking(asked: DataFrame, column: str, flag: str) -> DataFrame:
+        """(query, flag) of the rows that leak."""
         top = inverted.best(docs, asked, key, text, query, column, 1, scorer=scorer).select(F.col("query").alias(query), F.col("key").alias("_key"))
-        return asked.join(top, query, "left").select(query, F.coalesce(F.array_contains("evidence", F.col("_key")), F.lit(False)).alias("_hit"))
+        found = asked.join(top, query)
+        found = found.filter(F.array_contains("evidence", F.col("_key"))) if given else holding(docs.select(F.col(key).alias("_key"), text), found, "_key", text, query, query_text)
+        return found.select(query).distinct().withColumn(flag, F.lit(True))
 
-    new = substituted(F.col(query_text), [(f"(?i){a}", b) for a, b in rewrites])
-    first = staged(rows.join(leaking(rows, query_text), query).withColumns({"_control": F.col("_place") % control_every == 0, "_new": new}))
+    new = substituted(F.col(query_text), [(f"(?i){a}".replace(r"\b", EDGE), b) for a, b in rewrites])
+    first = staged(rows.join(leaking(rows, query_text, "_hit"), query, "left").withColumns({"_hit": F.coalesce("_hit", F.lit(False)), "_control": F.col("_place") % control_every == 0, "_new": new}))
     tried = staged(first.filter(F.col("_hit") & ~F.col("_control") & (F.col("_new") != F.col(query_text))))
-    again = leaking(tried, "_new").withColumnRenamed("_hit", "_again")
+    again = tried.select(query).distinct().join(leaking(tried, "_new", "_again"), query, "left").select(query, F.coalesce("_again", F.lit(False)).alias("_again"))
     outcome = F.when(F.col("_control"), "control_group").when(~F.col("_hit"), "clean").when(F.coalesce(~F.col("_again"), F.lit(False)), "rewritten").otherwise("unrewritable")
     done = first.join(again, query, "left").withColumn("outcome", outcome)
     changed = F.col("outcome") == "rewritten"
@@ -325,14 +344,16 @@ def anti_leak_gate(docs: DataFrame, gold: DataFrame, key: str, text: str, query:
 
 
 def gate_report(outcomes: DataFrame, most: float = 0.15) -> DataFrame:
-    """(stratum, n, hits, rewritten, unrewritable, clean, control_n, control_hits, control_rate, gated_rate, released_hits, released_rate, passes); the row of all strata is called `all`."""
+    """(stratum, n, hits, rewritten, unrewritable, clean, control_n, control_hits, control_rate, gated_rate, released_hits, released_rate, passes); the row of all strata is called `all`, and is there, its released rate null, without any rows."""
     of = lambda name: F.col("outcome") == name
     control = of("control_group")
     counts = {"n": F.lit(True), "hits": F.col("initial_hit"), **{x: of(x) for x in ("rewritten", "unrewritable", "clean")}, "control_n": control, "control_hits": control & F.col("initial_hit"), "_gated": ~control, "_gated_hits": ~control & F.col("initial_hit"), "released_hits": F.col("final_hit")}
-    found = outcomes.rollup("stratum").agg(*(F.count_if(c).alias(name) for name, c in counts.items()), F.grouping("stratum").alias("_all"))
+    each = staged(outcomes.groupBy("stratum").agg(*(F.count_if(c).alias(name) for name, c in counts.items())))
+    whole = each.agg(*(F.coalesce(F.sum(name), F.lit(0).cast("long")).alias(name) for name in counts))
+    found = each.withColumn("stratum", F.col("stratum").cast("string")).unionByName(whole.withColumn("stratum", F.lit("all")))
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
-    found = found.withColumn("stratum", F.when(F.col("_all") == 1, "all").otherwise(F.coalesce(F.col("stratum").cast("string"), F.lit("none")))).withColumns({"control_rate": rate("control_hits", "control_n"), "gated_rate": rate("_gated_hits", "_gated"), "released_rate": rate("released_hits", "n")})
-    return found.withColumn("passes", F.col("released_rate") <= most).drop("_all", "_gated", "_gated_hits")
+    found = found.withColumns({"control_rate": rate("control_hits", "control_n"), "gated_rate": rate("_gated_hits", "_gated"), "released_rate": F.round(F.try_divide("released_hits", "n"), 6)})
+    return found.withColumn("passes", F.col("released_rate") <= most).drop("_gated", "_gated_hits")
 
 
 def probe_summary(probes: DataFrame, endpoint: str, latency: str, rejected: str) -> DataFrame:
