@@ -323,12 +323,14 @@ def anti_leak_gate(docs: DataFrame, gold: DataFrame, key: str, text: str, query:
     the new question no longer leaks, else `unrewritable` with the old question; rows without a leak are `clean`. In the rules \\b is the edge of a run of [A-Za-z0-9_].
     """
     given = "evidence" in gold.columns
+    # Lower case is of one code point each, as in the SQL; that of whole texts knows a final sigma and adds a dot to i.
+    plain = lambda c: F.replace(F.replace(F.col(c), F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3"))
     asked = gold.select(query, query_text, "stratum", *["evidence"] * given, F.col(query).isNull().alias("_none"))
     rows = staged(global_rank(asked, ["_none", query], "_place").drop("_none"))
 
     def leaking(asked: DataFrame, column: str, flag: str) -> DataFrame:
         """(query, flag) of the rows that leak."""
-        top = inverted.best(docs, asked, key, text, query, column, 1, scorer=scorer).select(F.col("query").alias(query), F.col("key").alias("_key"))
+        top = inverted.best(docs.select(key, plain(text).alias(text)), asked.select(query, plain(column).alias(column)), key, text, query, column, 1, scorer=scorer).select(F.col("query").alias(query), F.col("key").alias("_key"))
         found = asked.join(top, query)
         found = found.filter(F.array_contains("evidence", F.col("_key"))) if given else holding(docs.select(F.col(key).alias("_key"), text), found, "_key", text, query, query_text)
         return found.select(query).distinct().withColumn(flag, F.lit(True))

@@ -6,8 +6,8 @@ import pytest
 from chatloom.operators import evaluate
 from chatloom.plans import catalog, catalog_search  # noqa: F401  registers its queries
 
-DOCS = [(0, "red apple tree house"), (1, "blue lake water house"), (2, "another gathering of weather vanes near the old mill"), (3, "zebra"), (4, "zebra zebra crossing"), (5, None), (6, ""), (7, "Ré èletion, quagmires\tand nothing else"), (8, "the mill house")]
-ASKED = ["red apple", "blue lake water", "another gathering", "gathering of weather vanes", "athering of weather vanes nea", "zebra", "ebra cross", "èletion, quagmires\tand", "", None, " ", "lake  water", "mill", "Ré èletion, quagmires\tand nothing"]
+DOCS = [(0, "red apple tree house"), (1, "blue lake water house"), (2, "another gathering of weather vanes near the old mill"), (3, "zebra"), (4, "zebra zebra crossing"), (5, None), (6, ""), (7, "Ré èletion, quagmires\tand nothing else"), (8, "the mill house"), (9, "İz"), (10, "ΣΟΦΟΣ.Α")]
+ASKED = ["red apple", "blue lake water", "another gathering", "gathering of weather vanes", "athering of weather vanes nea", "zebra", "ebra cross", "èletion, quagmires\tand", "", None, " ", "lake  water", "mill", "Ré èletion, quagmires\tand nothing", "İz", "ΣΟΦΟΣ"]
 
 
 @pytest.mark.parametrize("asked", [list(enumerate(ASKED * 2)), [(None, "blue lake water"), (0, "zebra"), (1, "mill")], []])
